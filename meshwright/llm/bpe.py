@@ -19,14 +19,14 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-class _Spaced(dict):
-    """Ids of a space and a word, by the word."""
+class _Words(dict):
+    """Ids of a word, with what stands before it, by the word."""
 
-    def __init__(self, coder: BytePairs) -> None:
-        self.coder = coder
+    def __init__(self, coder: BytePairs, before: str) -> None:
+        self.coder, self.before = coder, before
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = self.coder._chunks(" " + word)
+        ids = self.coder._chunks(self.before + word)
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -63,7 +63,7 @@ class BytePairs:
         self.specials = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.max_cached = max_cached
         self.cached: dict[str, tuple[int, ...]] = {}
-        self.spaced = _Spaced(self)
+        self.spaced, self.bare = _Words(self, " "), _Words(self, "")
         white = "".join(c for c in map(chr, range(0x3001)) if regex.match(r"\s", c))
         self.breaks = regex.compile(f"[{white}]{{2,}}|[{white.replace(' ', '')}]").finditer
 
@@ -112,7 +112,24 @@ class BytePairs:
         """A chunk never goes on behind a single space that stands between two other characters, so words are
         looked up whole; only longer or other white space is told apart as the pattern does it: its last
         character belongs to what follows if it is a space, and is a chunk of its own if not."""
-        at, lead, spaced = 0, False, self.spaced
+        bare, spaced = self.bare, self.spaced
+        lines = [line.split() for line in text.split("\n")]
+        if "\n".join(map(" ".join, lines)) == text and all(lines):  # single spaces and line ends only
+            end = bare["\n"]
+            for i, (first, *rest) in enumerate(lines):
+                if i:
+                    out += end
+                out += bare[first]
+                for ids in map(spaced.__getitem__, rest):
+                    out += ids
+        else:
+            self._mixed(text, out)
+        if len(spaced) + len(bare) > self.max_cached:
+            spaced.clear()
+            bare.clear()
+
+    def _mixed(self, text: str, out: list[int]) -> None:
+        at, lead = 0, False
         for m in self.breaks(text):
             if m.start() > at or lead:
                 lead = self._words(text[at : m.start()], lead, out)
@@ -127,8 +144,6 @@ class BytePairs:
                     out += self._chunks(white[-1])
         if at < len(text):
             self._words(text[at:], lead, out)
-        if len(spaced) > self.max_cached:
-            spaced.clear()
 
     def _words(self, text: str, lead: bool, out: list[int]) -> bool:
         first, *rest = text.split(" ")

@@ -3,46 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..operators.components import shared_dir, written
+
+__all__ = ["WORD", "documents", "shared_dir", "words", "written"]
 
 #: A word: a run of anything but space and the ASCII controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
-#: The characters that separate words, for str.translate.
-BREAKS = {i: 32 for i in range(9, 14)}
-
 
 def words(text: str | None) -> list[str]:
     """The words of a text, as WORD finds them; none for null."""
-    return [w for w in text.translate(BREAKS).split(" ") if w] if text else []
+    return [w.decode() for w in text.encode().split()] if text else []  # bytes.split cuts at just these characters
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The table `documents`, or some of its columns."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; sets one only where the cluster names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        import tempfile
-
-        spark.conf.set("spark.checkpoint.dir", found := "file://" + tempfile.mkdtemp(prefix="meshwright-"))
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage and is computed once."""
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def text_or_empty(column: str = "text"):
-    return F.coalesce(F.col(column), F.lit(""))

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .audio import audio_digests
 from .bpe import bpe_round_trip
 from .common import documents
+from .jaccard import jaccard_components
+from .lines import dedup_lines
+from .mixing import mix
+from .substring import dedup_substrings
 from .token_counts import token_counts
 
 
@@ -22,5 +27,23 @@ def op7_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_digests(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_bpe, op7_audio)}
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("long").alias("copies"))
+
+
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(documents(spark, sf_dir))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_bpe, op4_jaccard, op5_mixing, op6_lines, op7_audio, op10_substrings)}
 ORACLE_SQL: dict[str, str] = {}
