@@ -56,10 +56,10 @@ def _profiles(rows: DataFrame, width: int) -> DataFrame:
                 n.append(len(s))
                 x.append(np.add.reduce(mixed(s ^ np.uint64(0x5851F42D4C957F2D))))
                 y.append(np.add.reduce(mixed(s + np.uint64(0x14057B7EF767814F))))
-                least = [mixed(s ^ seed).min() if len(s) else np.uint64(0) for seed in seeds]
-                bands += [mixed(least[i * ROWS : i * ROWS + 1][0] + mixed(least[i * ROWS + 1] + np.uint64(i))) for i in range(BANDS)]
+                least = np.array([mixed(s ^ seed).min() if len(s) else 0 for seed in seeds], np.uint64).reshape(BANDS, ROWS)
+                bands += [mixed(least[:, 0] ^ mixed(least[:, 1] ^ seeds[:BANDS]))]
             offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _signed(x), _signed(y), pa.ListArray.from_arrays(offsets, _signed(bands))], names=["doc", "n", "x", "y", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), _signed(x), _signed(y), pa.ListArray.from_arrays(offsets, _signed(np.concatenate(bands) if bands else []))], names=["doc", "n", "x", "y", "bands"])
 
     return rows.mapInArrow(run, "doc long, n long, x long, y long, bands array<long>")
 
@@ -201,7 +201,8 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
 def _present(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """rows whose doc may be in ids: a filter of fixed size that spares most rows the join."""
     code = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
-    bits = ids.select(code.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    # Spark's bitmap functions number values from 1: value v is bit (v - 1) % 32768 of bucket 1 + (v - 1) div 32768.
+    bits = ids.select((code + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
     table = np.zeros(FILTER_BITS // 8, np.uint8)
     for k, found in bits.collect():
         table[(k - 1) * 4096 : k * 4096] = np.frombuffer(bytes(found), np.uint8)
