@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.components import shared_dir, written
 
-__all__ = ["WORD", "documents", "shared_dir", "words", "written"]
+__all__ = ["WORD", "documents", "present", "shared_dir", "words", "written"]
 
 #: A word: a run of anything but space and the ASCII controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,3 +25,28 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The table `documents`, or some of its columns."""
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
+
+
+FILTER_BITS = 1 << 23
+
+
+def present(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Those rows whose key may be among ids (a table with that column): all that are, and few others.
+
+    A bitmap of fixed size, 1 MB, spares most rows the join that must follow; the more ids, the fewer it spares.
+    """
+    code = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    # Spark's bitmap functions number values from 1: value v is bit (v - 1) % 32768 of bucket 1 + (v - 1) div 32768.
+    bits = ids.select((code + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
+    table = np.zeros(FILTER_BITS // 8, np.uint8)
+    for k, found in bits.collect():
+        table[(k - 1) * 4096 : k * 4096] = np.frombuffer(bytes(found), np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(table)
+    width = len(rows.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.asarray(batch.column(width))
+            yield batch.filter(pa.array((shared.value[h >> 3] >> (h & 7)) & 1 == 1)).select(range(width))
+
+    return rows.filter(F.col(key).isNotNull()).withColumn("_code", code).mapInArrow(run, rows.schema)

@@ -22,11 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import written
+from .common import present, written
 from .hashing import mixed, parts, runs, word_hashes
 
 BANDS, ROWS = 4, 2
-FILTER_BITS = 1 << 23
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -198,24 +197,6 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
     return postings.mapInArrow(run, "a long, b long, shared long, need long")
 
 
-def _present(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows whose doc may be in ids: a filter of fixed size that spares most rows the join."""
-    code = F.pmod(F.xxhash64("doc"), F.lit(FILTER_BITS))
-    # Spark's bitmap functions number values from 1: value v is bit (v - 1) % 32768 of bucket 1 + (v - 1) div 32768.
-    bits = ids.select((code + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for k, found in bits.collect():
-        table[(k - 1) * 4096 : k * 4096] = np.frombuffer(bytes(found), np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(table)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.asarray(batch.column(2))
-            yield batch.filter(pa.array((shared.value[h >> 3] >> (h & 7)) & 1 == 1)).select([0, 1])
-
-    return rows.filter("doc is not null").select("doc", "text", code.alias("h")).mapInArrow(run, "doc long, text binary")
-
-
 def _verified(rows: DataFrame, pairs: DataFrame, width: int, percent: int, chunk: int = 400) -> DataFrame:
     """Of pairs(a, b) those that link, compared on the sets of both texts. Each a's partners are split into chunks."""
     pairs = written(pairs, "pairs")
@@ -223,7 +204,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, width: int, percent: int, chunk
     members = pairs.join(chunks, "a").select(F.col("b").alias("d"), F.col("a").alias("group"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"))
     heads = chunks.select(F.col("a").alias("d"), F.col("a").alias("group"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("role"))
     needed = members.unionByName(heads)
-    found = _present(rows, needed.select(F.col("d").alias("doc"))).join(needed, F.col("doc") == F.col("d")).select("group", "chunk", "role", "doc", "text")
+    found = present(rows.select("doc", "text"), needed.select(F.col("d").alias("doc")), "doc").join(needed, F.col("doc") == F.col("d")).select("group", "chunk", "role", "doc", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, head = None, np.zeros(0, np.uint64)

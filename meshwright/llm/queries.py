@@ -11,10 +11,16 @@ from .common import documents
 from .jaccard import jaccard_components
 from .lines import dedup_lines
 from .mixing import mix
+from .quality import judge
 from .substring import dedup_substrings
 from .token_counts import token_counts
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select("doc_id", "lang", F.exp("log_perplexity").alias("perplexity"), F.exp("threshold").alias("threshold"), "keep")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir))
 
@@ -45,5 +51,5 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_bpe, op4_jaccard, op5_mixing, op6_lines, op7_audio, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_bpe, op4_jaccard, op5_mixing, op6_lines, op7_audio, op10_substrings)}
 ORACLE_SQL: dict[str, str] = {}
