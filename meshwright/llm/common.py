@@ -8,10 +8,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..operators.components import shared_dir, written
 
-__all__ = ["WORD", "documents", "present", "shared_dir", "words", "written"]
+__all__ = ["WORD", "documents", "flagged", "present", "shared_dir", "words", "written"]
 
 #: A word: a run of anything but space and the ASCII controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,10 +31,10 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 FILTER_BITS = 1 << 23
 
 
-def present(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Those rows whose key may be among ids (a table with that column): all that are, and few others.
+def flagged(rows: DataFrame, ids: DataFrame, key: str, into: str = "_maybe") -> DataFrame:
+    """rows with a boolean column: whether the key may be among ids (a table with that column). True for all that are, and for few others.
 
-    A bitmap of fixed size, 1 MB, spares most rows the join that must follow; the more ids, the fewer it spares.
+    A bitmap of fixed size, 1 MB, spares most rows the join that must follow; the more ids, the fewer it spares. Null keys: false.
     """
     code = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
     # Spark's bitmap functions number values from 1: value v is bit (v - 1) % 32768 of bucket 1 + (v - 1) div 32768.
@@ -47,6 +48,13 @@ def present(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h = np.asarray(batch.column(width))
-            yield batch.filter(pa.array((shared.value[h >> 3] >> (h & 7)) & 1 == 1)).select(range(width))
+            hit = ((shared.value[h >> 3] >> (h & 7)) & 1 == 1) & (h >= 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(hit)], names=[*batch.schema.names[:width], into])
+
+    schema = StructType([*rows.schema.fields, StructField(into, BooleanType())])
+    return rows.withColumn("_code", F.when(F.col(key).isNotNull(), code).otherwise(F.lit(-1))).mapInArrow(run, schema)
 
-    return rows.filter(F.col(key).isNotNull()).withColumn("_code", code).mapInArrow(run, rows.schema)
+
+def present(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Those rows whose key may be among ids: see flagged."""
+    return flagged(rows, ids, key).filter("_maybe").drop("_maybe")

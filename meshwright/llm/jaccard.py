@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import present, written
+from .common import flagged, present, written
 from .hashing import mixed, parts, runs, word_hashes
 
 BANDS, ROWS = 4, 2
@@ -265,3 +265,13 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, frequ
     final = sets.join(linked, F.col("rep") == F.col("id"), "left").select(F.col("n").alias("_n"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.coalesce("component", "rep").alias("component"))
     out = profiles.join(final, (F.col("n") == F.col("_n")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")) & F.col("doc").isNotNull(), "left")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """docs without the rows that link to one with a smaller key; classes: as jaccard_components returns them.
+
+    Rows with one key are one document and stay together; rows with a null key stay.
+    """
+    gone = written(classes.filter(F.col("component_id") < F.col(key)).select(key).distinct(), "gone")
+    rows = flagged(docs, gone, key)
+    return rows.filter("not _maybe").drop("_maybe").unionByName(rows.filter("_maybe").drop("_maybe").join(gone, key, "left_anti"))

@@ -12,8 +12,10 @@ from .jaccard import jaccard_components
 from .lines import dedup_lines
 from .mixing import mix
 from .quality import judge
+from .search import bm25_top_k
 from .substring import dedup_substrings
 from .token_counts import token_counts
+from .warc import warc_derivatives
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +49,18 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return bm25_top_k(docs, docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), "text"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_derivatives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_bpe, op4_jaccard, op5_mixing, op6_lines, op7_audio, op10_substrings)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_token_counts, op3_bpe, op4_jaccard, op5_mixing, op6_lines, op7_audio, op8_search, op9_warc, op10_substrings)}
 ORACLE_SQL: dict[str, str] = {}
