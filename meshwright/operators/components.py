@@ -28,8 +28,8 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every endpoint of edges: component is the smallest id that edges reach.
 
-    Each round hooks every node to its smallest neighbour, shortens the pointers and contracts the edges,
-    so what is left shrinks by at least half; a node with very many edges is only ever aggregated over.
+    Each round hooks every node to its smallest neighbour, follows the pointers to their roots and contracts
+    the edges, so at most half of the nodes are left; a node with very many edges is only ever aggregated over.
     Null endpoints are no endpoints; repeated edges and loops change nothing.
     """
     left = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
@@ -39,10 +39,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("p")), "parents")
-        for _ in range(2):
-            up = parent.select(F.col("id").alias("p"), F.col("p").alias("q"))
-            parent = parent.join(up, "p").select("id", F.col("q").alias("p"))
-        parent = written(parent, "parents")
+        more = True
+        while more:  # each pass makes pointers eight times as long, until all are at roots
+            for _ in range(3):
+                up = parent.select(F.col("id").alias("p"), F.col("p").alias("q"))
+                parent = parent.join(up, "p").select("id", F.col("p").alias("was"), F.col("q").alias("p"))
+                more_rows, parent = parent, parent.select("id", "p")
+            found = written(more_rows, "parents")
+            more = not found.filter("was <> p").isEmpty()
+            parent = found.select("id", "p")
         labels = written(labels.join(parent.select(F.col("id").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component")), "labels")
         pa, pb = parent.select(F.col("id").alias("a"), F.col("p").alias("x")), parent.select(F.col("id").alias("b"), F.col("p").alias("y"))
         moved = left.join(pa, "a").join(pb, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
