@@ -158,7 +158,7 @@ def prune_isolates(labels: DataFrame, coarse_edges: DataFrame) -> DataFrame:
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends among ids."""
-    return edges.join(ids.select(F.col("id").alias("u")), "u", "left_semi").join(ids.select(F.col("id").alias("v")), "v", "left_semi")
+    return edges.join(ids.select(F.col("id").alias("u")), "u", "left_semi").join(ids.select(F.col("id").alias("v")), "v", "left_semi").select(edges.columns)
 
 
 def row_offsets(edges: DataFrame) -> DataFrame:

@@ -633,7 +633,7 @@ def bench_tasks(spark, sf_dir):
     return benchlab.tasks(spark, family=["path", "grid"], vertices=["1000", "1e+06"], threads=["1", "0.5"])
 
 
-@query(f'WITH {RUNS}, x AS (SELECT c AS "case", m AS method FROM range(12) a(c), (SELECT DISTINCT method AS m FROM r WHERE method <> \'view\')), f AS (SELECT "case", method, count(*) AS n FROM r GROUP BY 1, 2) SELECT "case", method, CASE WHEN f.n IS NULL THEN \'missing\' WHEN x.method IS NULL THEN \'extra\' WHEN f.n > 1 THEN \'duplicate\' END AS state FROM (SELECT coalesce(x."case", f."case") AS "case", coalesce(x.method, f.method) AS method, x.method AS xm, f.n FROM x FULL JOIN f ON x."case" = f."case" AND x.method = f.method) q LEFT JOIN LATERAL (SELECT q.xm AS method) x ON true LEFT JOIN LATERAL (SELECT q.n AS n) f ON true WHERE CASE WHEN f.n IS NULL THEN \'missing\' WHEN x.method IS NULL THEN \'extra\' WHEN f.n > 1 THEN \'duplicate\' END IS NOT NULL')
+@query(f'WITH {RUNS}, x AS (SELECT c AS "case", m AS method FROM range(12) a(c), (SELECT DISTINCT method AS m FROM r WHERE method <> \'view\')), f AS (SELECT "case", method, count(*) AS n FROM r GROUP BY 1, 2), q AS (SELECT coalesce(x."case", f."case") AS "case", coalesce(x.method, f.method) AS method, x.method AS wanted, f.n AS n FROM x FULL JOIN f ON x."case" = f."case" AND x.method = f.method) SELECT "case", method, CASE WHEN n IS NULL THEN \'missing\' WHEN wanted IS NULL THEN \'extra\' ELSE \'duplicate\' END AS state FROM q WHERE n IS NULL OR wanted IS NULL OR n > 1')
 def bench_validate(spark, sf_dir):
     r = runs(spark, sf_dir)
     wanted = r.select("method").distinct().filter("method <> 'view'").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("case"), "method")
