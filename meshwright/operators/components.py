@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.kernel import smallest_members
+
+#: Edges (16 bytes each) up to which one task finishes.
+FEW = 500_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; sets one only where the cluster names none (tests)."""
@@ -25,18 +33,37 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _finished(edges: DataFrame) -> DataFrame:
+    """(id, p): the smallest id that each endpoint reaches, from a checked number of edges in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches]
+        a, b = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
+        names, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = smallest_members(len(names), where[: len(a)], where[len(a) :])
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[root])], names=["id", "p"])
+
+    return edges.select("a", "b").repartition(1).mapInArrow(run, "id long, p long")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", few: int = FEW) -> DataFrame:
     """(id, component) for every endpoint of edges: component is the smallest id that edges reach.
 
     Each round hooks every node to its smallest neighbour, follows the pointers to their roots and contracts
     the edges, so at most half of the nodes are left; a node with very many edges is only ever aggregated over.
-    Null endpoints are no endpoints; repeated edges and loops change nothing.
+    When no more than `few` edges are left, one task finishes; whatever their number, the result is the same.
+    Null endpoints are no endpoints; repeated edges and loops change nothing. Ids are integers.
     """
-    left = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null")
+    left = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a is not null and b is not null")
     left = written(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    if left.count() <= few:
+        return written(_finished(left).withColumnRenamed("p", "component"), "labels")
     labels = left.select(F.explode(F.array("a", "b")).alias("id")).distinct().select("id", F.col("id").alias("component"))
     left = left.filter("a < b")
-    while not left.isEmpty():
+    while n := left.count():
+        if n <= few:
+            parent = _finished(left)
+            return labels.join(parent.select(F.col("id").alias("component"), "p"), "component", "left").select("id", F.coalesce("p", "component").alias("component"))
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("p")), "parents")
         more = True
