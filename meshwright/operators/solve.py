@@ -134,15 +134,25 @@ def grouping(edges: DataFrame, low_degree: float = 0.125) -> DataFrame:
     return out.join(labels, "id", "left").select("id", "heavy_parent", "weight", "split_parent", "final_parent", F.coalesce("component", "id").alias("label"))
 
 
+def eligible(edges: int, vertices: int, terminal: bool, engine: EngineOptions | None = None) -> bool:
+    """Whether one level's work is worth splitting up: it goes on to a coarser level, has edges enough, and more of them than a tree by a quarter."""
+    o = engine or EngineOptions()
+    return not terminal and edges >= vertices + vertices // 4 and edges >= o.min_length
+
+
+def at_once(rhs: int, workspace: int, engine: EngineOptions | None = None) -> int:
+    """Right-hand sides at a time: as many as there are threads and the budget holds workspaces for."""
+    o = engine or EngineOptions()
+    return min(o.threads, rhs, o.budget // max(workspace, 1))
+
+
 def route(rhs: int, edges: int, vertices: int, engine: EngineOptions | None = None) -> tuple[str, int]:
     """How a batch would run and how many right-hand sides at a time: Serial, Planned (one solve split up) or AcrossRHS."""
     o = engine or EngineOptions()
-    workspace = 8 * 8 * max(vertices, 1)
-    at_once = min(o.threads, rhs, o.budget // workspace)
-    planned = edges >= vertices + vertices // 4 and edges >= o.min_length and edges >= o.planned_edges
-    if rhs > 1 and at_once >= 2:
-        return "AcrossRHS", at_once
-    return ("Planned" if planned else "Serial"), 1
+    n = at_once(rhs, 64 * max(vertices, 1), o)
+    if rhs > 1 and n >= 2:
+        return "AcrossRHS", n
+    return ("Planned" if eligible(edges, vertices, False, o) and edges >= o.planned_edges else "Serial"), 1
 
 
 def check_compatible(b: DataFrame, comps: DataFrame, tolerance: float = 1e-7) -> None:

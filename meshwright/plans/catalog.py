@@ -781,3 +781,47 @@ def bipartite_ids(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem")
     e = bipartite(t, "l_suppkey", "l_orderkey")
     return e.agg(F.sum("w").cast("long").alias("n"), F.countDistinct("u").alias("left_side"), F.countDistinct("v").alias("right_side"))
+
+
+@query("SELECT CAST(edges AS BIGINT) AS edges, CAST(vertices AS BIGINT) AS vertices, terminal, NOT terminal AND edges >= vertices + vertices // 4 AND edges >= 4096 AS eligible FROM (VALUES (5000, 4000, false), (5000, 4001, false), (4095, 100, false), (9000, 100, true)) t(edges, vertices, terminal)")
+def plan_eligibility(spark, sf_dir):
+    cases = [(5000, 4000, False), (5000, 4001, False), (4095, 100, False), (9000, 100, True)]
+    return spark.createDataFrame([(*c, solve.eligible(*c)) for c in cases], "edges long, vertices long, terminal boolean, eligible boolean")
+
+
+@query("SELECT CAST(rhs AS BIGINT) AS rhs, CAST(workspace AS BIGINT) AS workspace, CAST(least(8, rhs, 1073741824 // workspace) AS BIGINT) AS at_once FROM (VALUES (16, 1000), (3, 1000), (16, 300000000), (16, 2000000000)) t(rhs, workspace)")
+def batch_policy(spark, sf_dir):
+    cases = [(16, 1000), (3, 1000), (16, 300000000), (16, 2000000000)]
+    return spark.createDataFrame([(*c, solve.at_once(*c)) for c in cases], "rhs long, workspace long, at_once long")
+
+
+def applied(spark: SparkSession, count: int) -> DataFrame:
+    """The preconditioner of a complete graph, solved directly, on several right-hand sides at once."""
+    import numpy as np
+
+    from ..functions.kernel import centered
+
+    g, _ = solve.local_graph(gen.complete(spark, 20))
+    h = solve.Hierarchy.build(g)
+    b = ((17 * np.arange(20)[:, None] + 31 * np.arange(count)) % 257 - 128).astype(float)
+    x = centered(h.apply(centered(b, h.levels[0].root)), h.levels[0].root)
+    return spark.createDataFrame([(r, i, round(float(x[i, r]), 6)) for r in range(count) for i in range(20)], "rhs_id int, id long, val double")
+
+
+APPLIED = "SELECT CAST(r AS INT) AS rhs_id, i AS id, round((x - avg(x) OVER (PARTITION BY r)) / 20, 6) AS val FROM (SELECT i, r, CAST((17 * i + 31 * r) % 257 - 128 AS DOUBLE) AS x FROM range(20) a(i), range({n}) b(r))"
+
+
+@query(APPLIED.format(n=1))
+def precond_apply(spark, sf_dir):
+    return applied(spark, 1)
+
+
+@query(APPLIED.format(n=4))
+def batch_apply(spark, sf_dir):
+    return applied(spark, 4)
+
+
+@query(f"SELECT CAST(f AS INT) AS frame, i AS input_idx, round(({WEIGHT.format(s='i')}) * CASE WHEN (f + i) % 2 = 0 THEN 1 + 0.1 * f ELSE 1 / (1 + 0.1 * f) END, 9) AS w FROM range(500) a(i), range(3) b(f)")
+def frames(spark, sf_dir):
+    """Weights of a fixed topology that change by turns."""
+    return gen.frames(spark.range(500).select(F.col("id").alias("input_idx")), 3, 0.1).select("frame", "input_idx", F.round("w", 9).alias("w"))
