@@ -34,8 +34,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix of sources takes."""
-    return mixed_rows(mix(docs), docs.columns)
+    """A row for each copy that the mix of sources takes, in as many shards as the session shuffles to, up to a power of two."""
+    shards = 1 << (int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    return mixed_rows(mix(docs, shards=shards), docs.columns, shards)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
