@@ -5,10 +5,18 @@ hash. Two sets of n shingles with Jaccard similarity t or more share l of the fi
 ones, for any l. Each document takes the l that makes its estimated cost least: a longer prefix is more
 to move, but a pair must share more of it, the smaller l of the two, before it is verified.
 
-Equal sets are one class. A first verified round links each document to the first document of its
-min-hash buckets, which joins large groups of copies by a linear number of comparisons. The prefix join
-then runs between these clusters: what is counted for a pair of clusters is no less than for any pair of
-their documents, so no link between different clusters is lost, and pairs inside one are never listed.
+Equal sets are one class. A first verified round links each document to a typical document of its
+min-hash buckets, its pivot, which joins large groups of copies by a linear number of comparisons. The
+prefix join then runs between the clusters found: what is counted for a pair of clusters is no less than
+for any pair of their documents, so no link between different clusters is lost, and pairs inside one are
+never listed.
+
+Pairs with one pivot p are left to a third round. Let D(x) be the symmetric difference of x and p. Sets
+x and y link only if |x ^ y| <= (1 - t) / (1 + t) (|x| + |y|), and |D(x) & D(y)| is half of |D(x)| +
+|D(y)| - |x ^ y|. If x does not link with p, then it links with no y of which D(y) is disjoint from D(x),
+and how much they must share follows from the sizes. So differences are joined by their own prefixes,
+what p lacks before what p has: near copies of one text that differ too much never meet again.
+
 Everything that decides a link is compared exactly, on whole shingle sets.
 """
 
@@ -25,7 +33,9 @@ from ..operators.components import components
 from .common import flagged, present, written
 from .hashing import mixed, parts, runs, word_hashes
 
-BANDS, ROWS = 4, 2
+BANDS, ROWS = 6, 2
+#: Documents compared with one pivot from which on it is used as such.
+LEAST_GROUP = 8
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -83,9 +93,9 @@ def _frequent(rows: DataFrame, width: int, most: int, least: int = 3) -> tuple[n
             for _, s in shingle_sets(batch.column(1), width):
                 fresh.append(s)
                 size += len(s)
-                if size > 1_500_000:
+                if size > 600_000:
                     add()
-                    keep = counts > 1 if len(held) > 1_500_000 else slice(None)
+                    keep = counts > 1 if len(held) > 600_000 else slice(None)
                     held, counts = held[keep], counts[keep]
         add()
         top = np.flatnonzero(counts >= least)
@@ -137,23 +147,24 @@ def _prefixes(rows: DataFrame, width: int, percent: int, frequent: np.ndarray, c
 
 
 def _pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """From (token, cluster, n, need), one token's rows together: (a, b, shared, need) for clusters a < b of a token whose sizes allow a link."""
+    """From (token, cluster, low, high, need, group), one token's rows together: (a, b, shared, need) for clusters a < b of a token whose
+    sizes allow a link and that are not of one group (-1: of none)."""
 
     def collapsed(table: pa.Table) -> tuple[np.ndarray, ...]:
-        """A row for each token and cluster, by token and low: token, cluster, low, high, need."""
-        token, cluster, n, need = (np.asarray(table.column(c)) for c in ("token", "cluster", "low", "need"))
+        """A row for each token and cluster, by token and low: token, cluster, low, high, need, group."""
+        token, cluster, n, need, group = (np.asarray(table.column(c)) for c in ("token", "cluster", "low", "need", "group"))
         high = np.asarray(table.column("high"))
         order = np.lexsort((cluster, token))
         token, cluster = token[order], cluster[order]
         starts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (cluster[1:] != cluster[:-1])))
         low, high, need = np.minimum.reduceat(n[order], starts), np.maximum.reduceat(high[order], starts), np.minimum.reduceat(need[order], starts)
-        token, cluster = token[starts], cluster[starts]
+        token, cluster, group = token[starts], cluster[starts], group[order][starts]
         order = np.lexsort((low, token))
-        return token[order], cluster[order], low[order], high[order], need[order]
+        return token[order], cluster[order], low[order], high[order], need[order], group[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[np.ndarray] = []
-        names = ["token", "cluster", "low", "high", "need"]
+        names = ["token", "cluster", "low", "high", "need", "group"]
 
         def flush() -> pa.RecordBatch:
             p = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
@@ -164,15 +175,16 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(p[starts, 0]), pa.array(p[starts, 1]), pa.array(np.diff(np.append(starts, len(p)))), pa.array(least)], names=["a", "b", "shared", "need"])
 
         def emit(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            token, cluster, low, high, need = collapsed(pa.Table.from_batches(tables))
+            token, cluster, low, high, need, group = collapsed(pa.Table.from_batches(tables))
             edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
             size = np.diff(np.append(edge, len(token)))
             end = np.repeat(edge + size, size)
             at, step = np.arange(len(token)), 1
             while len(at := at[at + step < end[at]]):  # low ascends in a token: what does not fit once never fits again
                 at = at[100 * high[at].astype(np.int64) >= percent * low[at + step].astype(np.int64)]
-                a, b = cluster[at], cluster[at + step]
-                found.append(np.column_stack([np.minimum(a, b), np.maximum(a, b), np.minimum(need[at], need[at + step])]))
+                on = at[(group[at] != group[at + step]) | (group[at] < 0)]
+                a, b = cluster[on], cluster[on + step]
+                found.append(np.column_stack([np.minimum(a, b), np.maximum(a, b), np.minimum(need[on], need[on + step])]))
                 step += 1
                 if sum(map(len, found)) > 500_000:
                     yield flush()
@@ -197,8 +209,23 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
     return postings.mapInArrow(run, "a long, b long, shared long, need long")
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, width: int, percent: int, chunk: int = 400) -> DataFrame:
-    """Of pairs(a, b) those that link, compared on the sets of both texts. Each a's partners are split into chunks."""
+def difference(head: np.ndarray, s: np.ndarray, both: np.ndarray, linked: bool, percent: int) -> np.ndarray:
+    """The prefix of the symmetric difference by which s meets others of its pivot; both: which of s the head has.
+
+    Of a linked set, a link to an unlinked one takes more than (1 - c) / 2 of its difference, c = (1 - t) / (1 + t);
+    of an unlinked set it takes at least |D| - |s| (1 - t) / t.
+    """
+    new = s[~both]
+    gone = np.setdiff1d(head, s, assume_unique=True)
+    n = len(new) + len(gone)
+    need = percent * n // (100 + percent) + 1 if linked else max(1, n - len(s) * (100 - percent) // percent)
+    ordered = np.concatenate([new[np.argsort(mixed(new))], gone[np.argsort(mixed(gone))]])
+    return ordered[: max(0, n - need + 1)]
+
+
+def _compared(rows: DataFrame, pairs: DataFrame, width: int, percent: int, differ: bool = False, chunk: int = 400) -> DataFrame:
+    """pairs(a, b) with linked, compared on the sets of both texts, and with differ the difference of b from a where it is the
+    smaller part. Each a's partners are split into chunks. Without differ only linked pairs are returned."""
     pairs = written(pairs, "pairs")
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
     members = pairs.join(chunks, "a").select(F.col("b").alias("d"), F.col("a").alias("group"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"))
@@ -210,19 +237,23 @@ def _verified(rows: DataFrame, pairs: DataFrame, width: int, percent: int, chunk
         at, head = None, np.zeros(0, np.uint64)
         for batch in batches:
             group, chunks, role, doc = (np.asarray(batch.column(c)) for c in ("group", "chunk", "role", "doc"))
-            a, b = [], []
+            a, b, links, parts = [], [], [], []
             for k, s in shingle_sets(batch.column("text"), width):
                 if role[k] == 0:
                     at, head = (group[k], chunks[k]), s
                 elif at == (group[k], chunks[k]) and len(s) and len(head) and doc[k] != group[k]:
-                    place = np.minimum(np.searchsorted(head, s), len(head) - 1)
-                    both = int(np.count_nonzero(head[place] == s))
-                    if 100 * both >= percent * (len(s) + len(head) - both):
+                    hit = head[np.minimum(np.searchsorted(head, s), len(head) - 1)] == s
+                    both = int(np.count_nonzero(hit))
+                    linked = 100 * both >= percent * (len(s) + len(head) - both)
+                    if linked or differ:
                         a.append(group[k])
                         b.append(doc[k])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                        links.append(linked)
+                        near = differ and len(s) + len(head) - 2 * both < len(s)
+                        parts.append(difference(head, s, hit, linked, percent).view(np.int64).tolist() if near else None)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.bool_()), pa.array(parts, pa.list_(pa.int64()))], names=["a", "b", "linked", "differs"])
 
-    return found.repartition("group", "chunk").sortWithinPartitions("group", "chunk", "role").mapInArrow(run, "a long, b long")
+    return found.repartition("group", "chunk").sortWithinPartitions("group", "chunk", "role").mapInArrow(run, "a long, b long, linked boolean, differs array<long>")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, frequent: int = 200_000, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -237,31 +268,43 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, frequ
     profiles = written(_profiles(rows, width), "profiles")
     sets = profiles.filter("n > 0 and doc is not null").groupBy("n", "x", "y").agg(F.min("doc").alias("rep"), F.min("bands").alias("bands"))
     sets = written(sets, "sets")
-    # First round: buckets of min-hash bands, each document with the first of its bucket.
+    # First round: buckets of min-hash bands, each document with the one of its bucket that stands in the fullest buckets.
     buckets = sets.select("rep", F.posexplode("bands").alias("band", "value"))
-    first = buckets.groupBy("band", "value").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
-    star = buckets.join(first, ["band", "value"]).filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    near = written(_verified(rows, star, width, percent), "links")
-    clusters = written(components(near), "clusters")
+    sizes = buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = written(buckets.join(sizes, ["band", "value"]), "buckets")
+    typical = shared.join(shared.groupBy("rep").agg(F.sum("size").alias("score")), "rep")
+    first = typical.groupBy("band", "value").agg(F.max(F.struct("score", (-F.col("rep")).alias("m"))).alias("x")).select("band", "value", (-F.col("x.m")).alias("a"))
+    star = shared.join(first, ["band", "value"]).filter("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    near = written(_compared(rows, star, width, percent, differ=True), "links")
+    clusters = written(components(near.filter("linked")), "clusters")
+    groups = near.filter("differs is not null").groupBy("a").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= LEAST_GROUP)
+    choice = near.filter("differs is not null").join(groups, "a").select("b", "a", "size", "differs").unionByName(groups.select(F.col("a").alias("b"), "a", "size", F.array().cast("array<long>").alias("differs")))
+    pivots = written(choice.groupBy("b").agg(F.max(F.struct("size", (-F.col("a")).alias("m"), "differs")).alias("x")).select(F.col("b").alias("doc"), (-F.col("x.m")).alias("pivot"), F.col("x.differs").alias("differs")), "pivots")
+    members = sets.select("rep", "n").join(clusters, F.col("rep") == F.col("id"), "left").join(pivots.select("doc", "pivot"), F.col("rep") == F.col("doc"), "left")
+    members = written(members.select("rep", "n", F.coalesce("component", "rep").alias("cluster"), F.coalesce("pivot", F.lit(-1)).alias("pivot")), "members")
+    grouped = members.groupBy("cluster").agg(F.min("pivot").alias("low"), F.max("pivot").alias("high")).select("cluster", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1).alias("group"))
     # Second round: the prefix join between clusters.
     tokens, counts = _frequent(rows, width, frequent)
-    reps = sets.select("rep").join(clusters, F.col("rep") == F.col("id"), "left").select("rep", F.coalesce("component", "rep").alias("cluster"))
+    reps = members.select("rep", "cluster").join(grouped, "cluster")
     prefixes = _prefixes(rows, width, percent, tokens, counts).join(reps, F.col("doc") == F.col("rep"))
-    wide = prefixes.select(F.explode("tokens").alias("token"), F.col("cluster"), F.col("n").alias("low"), F.col("n").alias("high"), F.col("need"))
-    wide = wide.repartition("token").sortWithinPartitions("token")
-    pairs = _pairs(wide, percent).groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
-    pairs = written(pairs, "cluster-pairs")
-    members = sets.select("rep", "n").join(clusters, F.col("rep") == F.col("id"), "left").select(F.coalesce("component", "rep").alias("cluster"), "rep", "n")
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    of = lambda c: (members.select(F.col("cluster").alias(c), F.col("rep").alias(f"{c}_doc"), F.col("n").alias(f"{c}_n")), sizes.select(F.col("cluster").alias(c), F.col("size").alias(f"{c}_size")))
+    wide = prefixes.select(F.explode("tokens").alias("token"), "cluster", F.col("n").alias("low"), F.col("n").alias("high"), "need", "group")
+    counted = _pairs(wide.repartition("token").sortWithinPartitions("token"), percent)
+    pairs = written(counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b"), "cluster-pairs")
+    kinds = members.groupBy("cluster", "pivot").agg(F.count(F.lit(1)).alias("size"))
+    for c in ("a", "b"):
+        pairs = pairs.join(kinds.select(F.col("cluster").alias(c), F.col("pivot").alias(f"{c}_pivot"), F.col("size").alias(f"{c}_size")), c)
+    pairs = pairs.filter("a_pivot <> b_pivot or a_pivot = -1")
     for c in ("a", "b"):
-        for side in of(c):
-            pairs = pairs.join(side, c)
+        pairs = pairs.join(members.select(F.col("cluster").alias(c), F.col("pivot").alias(f"{c}_pivot"), F.col("rep").alias(f"{c}_doc"), F.col("n").alias(f"{c}_n")), [c, f"{c}_pivot"])
     swap = F.col("a_size") > F.col("b_size")  # the text with more partners is sent once to each chunk of them
     fits = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
     pairs = pairs.filter(fits).select(F.when(swap, F.col("b_doc")).otherwise(F.col("a_doc")).alias("a"), F.when(swap, F.col("a_doc")).otherwise(F.col("b_doc")).alias("b"))
-    more = _verified(rows, pairs, width, percent)
-    linked = components(near.unionByName(more))
+    # Third round: documents of one pivot, by their differences from it.
+    own = pivots.join(members.drop("pivot"), F.col("doc") == F.col("rep")).select(F.explode("differs").alias("t"), "pivot", F.col("rep").alias("cluster"), F.col("n").cast("int").alias("low"), F.col("n").cast("int").alias("high"), F.lit(1).alias("need"), F.col("cluster").alias("group"))
+    own = own.select(F.xxhash64("pivot", "t").alias("token"), "cluster", "low", "high", "need", "group")
+    closer = _pairs(own.repartition("token").sortWithinPartitions("token"), percent).select("a", "b")
+    more = _compared(rows, pairs.unionByName(closer).distinct(), width, percent)
+    linked = components(near.filter("linked").select("a", "b").unionByName(more.select("a", "b")))
     final = sets.join(linked, F.col("rep") == F.col("id"), "left").select(F.col("n").alias("_n"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.coalesce("component", "rep").alias("component"))
     out = profiles.join(final, (F.col("n") == F.col("_n")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y")) & F.col("doc").isNotNull(), "left")
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
