@@ -3,18 +3,20 @@
 The model's symbols are 64 classes of bytes, so that a model of order 4 has at most 64^4 probabilities
 whatever it is trained on. Counts are taken from all trusted text but one fold, as a table sharded by
 n-gram; continuation counts, discounts, and each n-gram's share of its context come from joins and
-aggregates of those shards. Because the finished model has a proven bound (64 MB), documents are scored
+aggregates of those shards. Because the finished model has a proven bound (32 MB), documents are scored
 against a copy of it in one narrow pass and none of their n-grams is shuffled. Thresholds are quantiles,
 by language, of the perplexities of the trusted fold that the model has not seen.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -73,7 +75,7 @@ def _discounts(counts: DataFrame) -> list[float]:
 
 
 def train(texts: DataFrame, order: int = 4) -> np.ndarray:
-    """Log probabilities of each symbol after each context: 64^order float32, from texts(text binary)."""
+    """Log probabilities of each symbol after each context: 64^order values of 16 bits, from texts(text binary)."""
     symbols = 1 << BITS
     tables = {order: written(_counts(texts, order), "counts")}
     for k in range(order - 1, 0, -1):  # continuation counts: how many symbols stand before
@@ -90,17 +92,34 @@ def train(texts: DataFrame, order: int = 4) -> np.ndarray:
         weight[context] = back
         p = (weight[:, None] * (p if k == 1 else np.tile(p.reshape(-1, symbols), (symbols, 1)))).ravel()
         p[gram] += share
-    return np.log(p).astype(np.float32)
+    return np.log(p).astype(np.float16)
 
 
-def scored(docs: DataFrame, model: np.ndarray, order: int = 4, text: str = "text", into: str = "log_perplexity") -> DataFrame:
+_models: dict[int, np.ndarray] = {}
+
+
+def _unpacked(shared: Broadcast) -> np.ndarray:
+    """The model, unpacked once in each worker; only the last one is kept."""
+    data = shared.value
+    key = zlib.crc32(data) << 32 | len(data)
+    if key not in _models:
+        _models.clear()
+        _models[key] = np.frombuffer(zlib.decompress(data), np.float16)
+    return _models[key]
+
+
+def published(spark: SparkSession, model: np.ndarray) -> Broadcast:
+    """A broadcast of the packed model."""
+    return spark.sparkContext.broadcast(zlib.compress(model.tobytes(), 1))
+
+
+def scored(docs: DataFrame, model: Broadcast, order: int = 4, text: str = "text", into: str = "log_perplexity") -> DataFrame:
     """docs with the mean negative log probability of the text's symbols; null where there is no text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop(into)
     width = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        table = _unpacked(model)
         for batch in batches:
             out: list[float | None] = []
             for value in batch.column(width):
@@ -146,7 +165,7 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float =
     trusted = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select(F.col(key).alias("_id"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"))
     good = present(rows, trusted, "_id").join(trusted, "_id").withColumn("fold", F.pmod(F.xxhash64("_id"), F.lit(folds)))
-    model = train(good.filter("fold <> 0").select("text"), order)
+    model = published(docs.sparkSession, train(good.filter("fold <> 0").select("text"), order))
     limits = written(thresholds(scored(good.filter("fold = 0").select("lang", "text"), model, order), quantile, slack, least), "thresholds")
     every = limits.filter("lang is null").first()
     limits = limits.filter("lang is not null").select(F.col("lang").alias("_lang"), F.col("threshold").alias("_limit"))
