@@ -62,7 +62,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     return mixed(h), np.searchsorted(first, offsets)
 
 
-def parts(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def parts(texts: pa.Array, most: int = 400_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a binary column into stretches of about `most` bytes: first row, end row, bytes, offsets."""
     texts = pa.concat_arrays([texts]) if texts.offset == 0 else pa.concat_arrays([texts.slice(0), texts.slice(0, 0)])
     wide = pa.types.is_large_binary(texts.type) or pa.types.is_large_string(texts.type)
