@@ -5,7 +5,7 @@ whatever it is trained on. Counts are taken from all trusted text but one fold,
 n-gram; continuation counts, discounts, and each n-gram's share of its context come from joins and
 aggregates of those shards. Because the finished model has a proven bound (32 MB), documents are scored
 against a copy of it in one narrow pass and none of their n-grams is shuffled. Thresholds are quantiles,
-by language, of the perplexities of the trusted fold that the model has not seen.
+by language, of the perplexities of the trusted fold that the model has not seen, beside those of rows labelled bad.
 """
 
 from __future__ import annotations
@@ -138,35 +138,48 @@ def scored(docs: DataFrame, model: Broadcast, order: int = 4, text: str = "text"
     return docs.withColumn("_bytes", F.col(text).cast("binary")).mapInArrow(run, schema)
 
 
-def thresholds(held_out: DataFrame, quantile: float, slack: float, least: int) -> DataFrame:
-    """(lang, threshold): the quantile of log_perplexity (in steps of 0.001) in a language with `least` rows or more, plus slack; null: of all rows."""
-    bins = held_out.filter("log_perplexity is not null").groupBy("lang", F.round("log_perplexity", 3).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+def thresholds(held_out: DataFrame, bad: DataFrame, quantile: float, least: int) -> DataFrame:
+    """(lang, threshold): the quantile of log_perplexity (in steps of 0.001) of held_out in a language with `least` rows or more; null: of all rows.
 
-    def of(rows: DataFrame, by: list[str]) -> DataFrame:
-        from pyspark.sql import Window
+    bad: rows labelled toxic or of low quality. The cut lies halfway from the quantile to the next of them above it,
+    if any: that lets in none of them that the quantile does not, and where they are dense it is the quantile.
+    """
+    from pyspark.sql import Window
+
+    def binned(rows: DataFrame) -> DataFrame:
+        return rows.filter("log_perplexity is not null").groupBy("lang", F.round("log_perplexity", 3).alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
+    def of(rows: DataFrame, above: DataFrame, by: list[str]) -> DataFrame:
         up = Window.partitionBy(*by).orderBy("v")
         rows = rows.withColumn("upto", F.sum("n").over(up)).withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
-        return rows.filter(F.col("upto") >= F.lit(quantile) * F.col("total")).groupBy(*by, "total").agg((F.min("v") + slack).alias("threshold"))
+        cut = rows.filter(F.col("upto") >= F.lit(quantile) * F.col("total")).groupBy(*by, "total").agg(F.min("v").alias("cut"))
+        after = cut.join(above.withColumnRenamed("v", "bad"), by, "left").groupBy(*by, "total", "cut").agg(F.min(F.when(F.col("bad") > F.col("cut"), F.col("bad"))).alias("bad"))
+        return after.select(*by, "total", ((F.col("cut") + F.coalesce("bad", "cut")) / 2).alias("threshold"))
 
-    every = of(bins.groupBy("v").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1)), ["one"]).select(F.lit(None).cast("string").alias("lang"), "threshold")
-    return of(bins.filter("lang is not null"), ["lang"]).filter(F.col("total") >= least).select("lang", "threshold").unionByName(every)
+    bins, above = binned(held_out), binned(bad)
+    one = lambda rows: rows.groupBy("v").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1))
+    every = of(one(bins), one(above).select("one", "v"), ["one"]).select(F.lit(None).cast("string").alias("lang"), "threshold")
+    return of(bins.filter("lang is not null"), above.select("lang", "v"), ["lang"]).filter(F.col("total") >= least).select("lang", "threshold").unionByName(every)
 
 
-def judge(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float = 0.98, slack: float = 0.25, least: int = 50, folds: int = 10, most_languages: int = 10_000, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float = 0.98, least: int = 50, folds: int = 10, most_languages: int = 10_000, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """docs with log_perplexity, threshold and keep (not above the threshold of the row's language).
 
     Trusted text: all rows of docs whose key labels calls of good quality and not toxic. One of `folds` parts of
-    it (by a hash of the key) is not trained on and gives the thresholds; a language with fewer than `least` such
-    rows, or null, takes the threshold of all. Null and empty texts have no perplexity and are kept, and without
-    trusted text every row is. Equal rows get equal results; an empty table gives an empty result.
+    it (by a hash of the key) is not trained on and gives the thresholds, with the other labelled rows (see
+    thresholds); a language with fewer than `least` such rows, or null, takes the threshold of all.
+    Null and empty texts have no perplexity and are kept, and without trusted text every row is. Equal rows get equal results; an empty table gives an empty result.
     """
     docs = docs.drop("log_perplexity", "threshold", "keep")
-    trusted = labels.filter("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("_id")).distinct()
+    good = F.coalesce(F.expr("quality = 1 and coalesce(toxic, 0) = 0"), F.lit(False))
+    called = labels.filter("quality in (0, 1) or toxic = 1").groupBy(F.col("doc_id").alias("_id")).agg(F.max(good).alias("good"))
     rows = docs.select(F.col(key).alias("_id"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"))
-    good = present(rows, trusted, "_id").join(trusted, "_id").withColumn("fold", F.pmod(F.xxhash64("_id"), F.lit(folds)))
-    model = published(docs.sparkSession, train(good.filter("fold <> 0").select("text"), order))
-    limits = written(thresholds(scored(good.filter("fold = 0").select("lang", "text"), model, order), quantile, slack, least), "thresholds")
+    fold = F.pmod(F.xxhash64("_id"), F.lit(folds))
+    trusted = called.filter("good").select("_id")
+    model = published(docs.sparkSession, train(present(rows.filter(fold != 0), trusted, "_id").join(trusted, "_id").select("text"), order))
+    asked = called.filter((fold == 0) | ~F.col("good"))  # scored before they are joined, so that no text is shuffled
+    seen = written(scored(present(rows, asked, "_id"), model, order).select("_id", "lang", "log_perplexity").join(asked, "_id"), "held_out")
+    limits = written(thresholds(seen.filter("good"), seen.filter("not good"), quantile, least), "thresholds")
     every = limits.filter("lang is null").first()
     limits = limits.filter("lang is not null").select(F.col("lang").alias("_lang"), F.col("threshold").alias("_limit"))
     if limits.count() <= most_languages:  # checked: else the rows are shuffled by language
