@@ -15,7 +15,9 @@ Pairs with one pivot p are left to a third round. Let D(x) be the symmetric diff
 x and y link only if |x ^ y| <= (1 - t) / (1 + t) (|x| + |y|), and |D(x) & D(y)| is half of |D(x)| +
 |D(y)| - |x ^ y|. If x does not link with p, then it links with no y of which D(y) is disjoint from D(x),
 and how much they must share follows from the sizes. So differences are joined by their own prefixes,
-what p lacks before what p has: near copies of one text that differ too much never meet again.
+what p lacks before what p has. What a pair must share follows from its own sizes, so a shared token counts
+only if both have enough left from it on, and l tokens are asked for as long as prefixes for l do not reach
+what p has: near copies of one text that differ too much seldom meet again.
 
 Everything that decides a link is compared exactly, on whole shingle sets.
 """
@@ -36,6 +38,8 @@ from .hashing import mixed, parts, runs, word_hashes
 BANDS, ROWS = 6, 2
 #: Documents compared with one pivot from which on it is used as such.
 LEAST_GROUP = 8
+#: The most shared tokens that are asked for of two differences before they are compared.
+MOST_ASKED = 4
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -149,11 +153,11 @@ def _prefixes(rows: DataFrame, width: int, percent: int, frequent: np.ndarray, c
 def _pairs(postings: DataFrame, percent: int) -> DataFrame:
     """From (token, cluster, low, high, need, group), one token's rows together: (a, b, shared, need) for clusters a < b of a token whose
     sizes allow a link and that are not of one group (-1: of none)."""
+    names = ["token", "cluster", "low", "high", "need", "group"]
 
     def collapsed(table: pa.Table) -> tuple[np.ndarray, ...]:
         """A row for each token and cluster, by token and low: token, cluster, low, high, need, group."""
-        token, cluster, n, need, group = (np.asarray(table.column(c)) for c in ("token", "cluster", "low", "need", "group"))
-        high = np.asarray(table.column("high"))
+        token, cluster, n, high, need, group = (np.asarray(table.column(c)) for c in names)
         order = np.lexsort((cluster, token))
         token, cluster = token[order], cluster[order]
         starts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (cluster[1:] != cluster[:-1])))
@@ -163,54 +167,104 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
         return token[order], cluster[order], low[order], high[order], need[order], group[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        names = ["token", "cluster", "low", "high", "need", "group"]
-
-        def flush() -> pa.RecordBatch:
-            p = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-            found.clear()
-            p = p[np.lexsort((p[:, 1], p[:, 0]))]
-            starts = np.flatnonzero(np.append(True, (p[1:, :2] != p[:-1, :2]).any(axis=1))) if len(p) else np.zeros(0, np.int64)
-            least = np.minimum.reduceat(p[:, 2], starts) if len(p) else p[:, 2]
-            return pa.RecordBatch.from_arrays([pa.array(p[starts, 0]), pa.array(p[starts, 1]), pa.array(np.diff(np.append(starts, len(p)))), pa.array(least)], names=["a", "b", "shared", "need"])
-
-        def emit(tables: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Found()
+        smaller = lambda tables: [pa.RecordBatch.from_arrays([pa.array(c) for c in collapsed(pa.Table.from_batches(tables))], names=names)]
+        for tables in by_token(batches, smaller):
             token, cluster, low, high, need, group = collapsed(pa.Table.from_batches(tables))
-            edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            size = np.diff(np.append(edge, len(token)))
-            end = np.repeat(edge + size, size)
-            at, step = np.arange(len(token)), 1
-            while len(at := at[at + step < end[at]]):  # low ascends in a token: what does not fit once never fits again
-                at = at[100 * high[at].astype(np.int64) >= percent * low[at + step].astype(np.int64)]
+            for at, step in steps(token, lambda at, step: 100 * high[at].astype(np.int64) >= percent * low[at + step].astype(np.int64)):  # noqa: B023
                 on = at[(group[at] != group[at + step]) | (group[at] < 0)]
-                a, b = cluster[on], cluster[on + step]
-                found.append(np.column_stack([np.minimum(a, b), np.maximum(a, b), np.minimum(need[on], need[on + step])]))
-                step += 1
-                if sum(map(len, found)) > 500_000:
-                    yield flush()
+                yield from found.add(cluster[on], cluster[on + step], np.minimum(need[on], need[on + step]))
+        yield found.flush()
 
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.asarray(batch.column("token"))
-            cut = int(np.flatnonzero(keys == keys[-1])[0])
-            if cut or (held and np.asarray(held[-1].column("token"))[-1] != keys[-1]):
-                yield from emit([*held, batch.slice(0, cut)])
-                held = [batch.slice(cut)]
-            else:
-                held.append(batch)
-                if sum(map(len, held)) > 200_000:  # one very frequent token: a row for each cluster is enough
-                    held = [pa.RecordBatch.from_arrays([pa.array(c) for c in collapsed(pa.Table.from_batches(held))], names=names)]
-        if held:
-            yield from emit(held)
-        yield flush()
+    return postings.mapInArrow(run, "a long, b long, shared long, need long")
+
+
+def by_token(batches: Iterator[pa.RecordBatch], smaller=None) -> Iterator[list[pa.RecordBatch]]:
+    """Batches sorted by token, cut so that each list has all rows of its tokens. smaller: what to do with a list that one token makes long."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.asarray(batch.column("token"))
+        cut = int(np.flatnonzero(keys == keys[-1])[0])
+        if cut or (held and np.asarray(held[-1].column("token"))[-1] != keys[-1]):
+            yield [*held, batch.slice(0, cut)]
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+            if smaller and sum(map(len, held)) > 200_000:
+                held = smaller(held)
+    if held:
+        yield held
+
+
+def steps(token: np.ndarray, fits) -> Iterator[tuple[np.ndarray, int]]:
+    """(at, step): rows at and at + step have one token and fit, for rows sorted by token and then so that what does not fit once never fits again."""
+    edge = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    size = np.diff(np.append(edge, len(token)))
+    end = np.repeat(edge + size, size)
+    at, step = np.arange(len(token)), 1
+    while len(at := at[at + step < end[at]]):
+        at = at[fits(at, step)]
+        yield at, step
+        step += 1
+
+
+class Found:
+    """Pairs, counted as they come."""
+
+    def __init__(self, most: int = 500_000) -> None:
+        self.parts: list[np.ndarray] = []
+        self.size, self.most = 0, most
+
+    def add(self, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append(np.column_stack([np.minimum(a, b), np.maximum(a, b), need]))
+        self.size += len(a)
+        if self.size > self.most:
+            yield self.flush()
+
+    def flush(self) -> pa.RecordBatch:
+        p = np.concatenate(self.parts) if self.parts else np.zeros((0, 3), np.int64)
+        self.parts, self.size = [], 0
+        p = p[np.lexsort((p[:, 1], p[:, 0]))]
+        starts = np.flatnonzero(np.append(True, (p[1:, :2] != p[:-1, :2]).any(axis=1))) if len(p) else np.zeros(0, np.int64)
+        least = np.minimum.reduceat(p[:, 2], starts) if len(p) else p[:, 2]
+        return pa.RecordBatch.from_arrays([pa.array(p[starts, 0]), pa.array(p[starts, 1]), pa.array(np.diff(np.append(starts, len(p)))), pa.array(least)], names=["a", "b", "shared", "need"])
+
+
+def needed(size: np.ndarray, n: np.ndarray, other_size: np.ndarray, other_n: np.ndarray, percent: int) -> np.ndarray:
+    """What the differences (n and other_n tokens) of two sets from one set must share for a link."""
+    whole = 100 + percent
+    return -(((100 - percent) * (size + other_size) - whole * (n + other_n)) // (2 * whole))
+
+
+def _closer(postings: DataFrame, percent: int) -> DataFrame:
+    """From (token, doc, size, group, at, n, need, fresh), one token's rows together: (a, b, shared, need) for documents of different
+    groups that this token may help to link. at: the token's place in the difference; n: the difference's size; fresh: how many of it the pivot lacks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Found()
+        for tables in by_token(batches):
+            table = pa.Table.from_batches(tables)
+            token, doc, size, group, at, n, need, fresh = (np.asarray(table.column(c)).astype(np.int64) for c in ("token", "doc", "size", "group", "at", "n", "need", "fresh"))
+            order = np.lexsort((size, token))
+            token, doc, size, group, at, n, need, fresh = (x[order] for x in (token, doc, size, group, at, n, need, fresh))
+            for i, step in steps(token, lambda i, step: 100 * size[i] >= percent * size[i + step]):  # noqa: B023
+                j = i + step
+                apart = (group[i] != group[j]) & (np.minimum(n[i] - at[i], n[j] - at[j]) > 0)
+                i, j = i[apart], j[apart]
+                share = np.maximum(needed(size[i], n[i], size[j], n[j], percent), np.maximum(need[i], need[j]))
+                asked = np.clip(np.minimum(fresh[i] - n[i] + share, fresh[j] - n[j] + share), 1, np.minimum(share, MOST_ASKED))
+                on = (at[i] < n[i] - share + asked) & (at[j] < n[j] - share + asked)
+                yield from found.add(doc[i[on]], doc[j[on]], asked[on])
+        yield found.flush()
 
     return postings.mapInArrow(run, "a long, b long, shared long, need long")
 
 
-def difference(head: np.ndarray, s: np.ndarray, both: np.ndarray, linked: bool, percent: int) -> np.ndarray:
-    """The prefix of the symmetric difference by which s meets others of its pivot; both: which of s the head has.
+def difference(head: np.ndarray, s: np.ndarray, both: np.ndarray, linked: bool, percent: int) -> tuple[np.ndarray, int, int, int]:
+    """The prefix of the symmetric difference by which s meets others of its pivot, the difference's size, how much of it any link
+    takes, and how much of it the head lacks; both: which of s the head has.
 
     Of a linked set, a link to an unlinked one takes more than (1 - c) / 2 of its difference, c = (1 - t) / (1 + t);
     of an unlinked set it takes at least |D| - |s| (1 - t) / t.
@@ -220,12 +274,12 @@ def difference(head: np.ndarray, s: np.ndarray, both: np.ndarray, linked: bool,
     n = len(new) + len(gone)
     need = percent * n // (100 + percent) + 1 if linked else max(1, n - len(s) * (100 - percent) // percent)
     ordered = np.concatenate([new[np.argsort(mixed(new))], gone[np.argsort(mixed(gone))]])
-    return ordered[: max(0, n - need + 1)]
+    return ordered[: max(0, n - need + 1, min(len(new), n - need + MOST_ASKED))], n, need, len(new)
 
 
 def _compared(rows: DataFrame, pairs: DataFrame, width: int, percent: int, differ: bool = False, chunk: int = 400) -> DataFrame:
-    """pairs(a, b) with linked, compared on the sets of both texts, and with differ the difference of b from a where it is the
-    smaller part. Each a's partners are split into chunks. Without differ only linked pairs are returned."""
+    """pairs(a, b) with linked, compared on the sets of both texts, and with differ what difference() says of b from a, where that
+    is the smaller part. Each a's partners are split into chunks. Without differ only linked pairs are returned."""
     pairs = written(pairs, "pairs")
     chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
     members = pairs.join(chunks, "a").select(F.col("b").alias("d"), F.col("a").alias("group"), F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("role"))
@@ -237,7 +291,7 @@ def _compared(rows: DataFrame, pairs: DataFrame, width: int, percent: int, diffe
         at, head = None, np.zeros(0, np.uint64)
         for batch in batches:
             group, chunks, role, doc = (np.asarray(batch.column(c)) for c in ("group", "chunk", "role", "doc"))
-            a, b, links, parts = [], [], [], []
+            a, b, links, parts, sizes = [], [], [], [], []
             for k, s in shingle_sets(batch.column("text"), width):
                 if role[k] == 0:
                     at, head = (group[k], chunks[k]), s
@@ -250,10 +304,12 @@ def _compared(rows: DataFrame, pairs: DataFrame, width: int, percent: int, diffe
                         b.append(doc[k])
                         links.append(linked)
                         near = differ and len(s) + len(head) - 2 * both < len(s)
-                        parts.append(difference(head, s, hit, linked, percent).view(np.int64).tolist() if near else None)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.bool_()), pa.array(parts, pa.list_(pa.int64()))], names=["a", "b", "linked", "differs"])
+                        found, *more = difference(head, s, hit, linked, percent) if near else (None, 0, 0, 0)
+                        parts.append(found.view(np.int64).tolist() if near else None)
+                        sizes.append(more)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.bool_()), pa.array(parts, pa.list_(pa.int64())), *(pa.array([x[k] for x in sizes], pa.int32()) for k in range(3))], names=["a", "b", "linked", "differs", "total", "need", "fresh"])
 
-    return found.repartition("group", "chunk").sortWithinPartitions("group", "chunk", "role").mapInArrow(run, "a long, b long, linked boolean, differs array<long>")
+    return found.repartition("group", "chunk").sortWithinPartitions("group", "chunk", "role").mapInArrow(run, "a long, b long, linked boolean, differs array<long>, total int, need int, fresh int")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, frequent: int = 200_000, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -278,8 +334,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, frequ
     near = written(_compared(rows, star, width, percent, differ=True), "links")
     clusters = written(components(near.filter("linked")), "clusters")
     groups = near.filter("differs is not null").groupBy("a").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= LEAST_GROUP)
-    choice = near.filter("differs is not null").join(groups, "a").select("b", "a", "size", "differs").unionByName(groups.select(F.col("a").alias("b"), "a", "size", F.array().cast("array<long>").alias("differs")))
-    pivots = written(choice.groupBy("b").agg(F.max(F.struct("size", (-F.col("a")).alias("m"), "differs")).alias("x")).select(F.col("b").alias("doc"), (-F.col("x.m")).alias("pivot"), F.col("x.differs").alias("differs")), "pivots")
+    choice = near.filter("differs is not null").join(groups, "a").select("b", "a", "size", "differs", "total", "need", "fresh")
+    choice = choice.unionByName(groups.select(F.col("a").alias("b"), "a", "size", F.array().cast("array<long>").alias("differs"), *(F.lit(0).alias(c) for c in ("total", "need", "fresh"))))
+    best = choice.groupBy("b").agg(F.max(F.struct("size", (-F.col("a")).alias("m"), "differs", "total", "need", "fresh")).alias("x"))
+    pivots = written(best.select(F.col("b").alias("doc"), (-F.col("x.m")).alias("pivot"), "x.differs", "x.total", "x.need", "x.fresh"), "pivots")
     members = sets.select("rep", "n").join(clusters, F.col("rep") == F.col("id"), "left").join(pivots.select("doc", "pivot"), F.col("rep") == F.col("doc"), "left")
     members = written(members.select("rep", "n", F.coalesce("component", "rep").alias("cluster"), F.coalesce("pivot", F.lit(-1)).alias("pivot")), "members")
     grouped = members.groupBy("cluster").agg(F.min("pivot").alias("low"), F.max("pivot").alias("high")).select("cluster", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1).alias("group"))
@@ -300,9 +358,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, frequ
     fits = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
     pairs = pairs.filter(fits).select(F.when(swap, F.col("b_doc")).otherwise(F.col("a_doc")).alias("a"), F.when(swap, F.col("a_doc")).otherwise(F.col("b_doc")).alias("b"))
     # Third round: documents of one pivot, by their differences from it.
-    own = pivots.join(members.drop("pivot"), F.col("doc") == F.col("rep")).select(F.explode("differs").alias("t"), "pivot", F.col("rep").alias("cluster"), F.col("n").cast("int").alias("low"), F.col("n").cast("int").alias("high"), F.lit(1).alias("need"), F.col("cluster").alias("group"))
-    own = own.select(F.xxhash64("pivot", "t").alias("token"), "cluster", "low", "high", "need", "group")
-    closer = _pairs(own.repartition("token").sortWithinPartitions("token"), percent).select("a", "b")
+    own = pivots.join(members.drop("pivot"), F.col("doc") == F.col("rep")).select(F.posexplode("differs").alias("at", "t"), "pivot", "doc", F.col("n").alias("size"), F.col("cluster").alias("group"), F.col("total").alias("n"), "need", "fresh")
+    own = own.withColumn("token", F.xxhash64("pivot", "t")).drop("t", "pivot")
+    met = _closer(own.repartition("token").sortWithinPartitions("token"), percent)
+    closer = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
     more = _compared(rows, pairs.unionByName(closer).distinct(), width, percent)
     linked = components(near.filter("linked").select("a", "b").unionByName(more.select("a", "b")))
     final = sets.join(linked, F.col("rep") == F.col("id"), "left").select(F.col("n").alias("_n"), F.col("x").alias("_x"), F.col("y").alias("_y"), F.coalesce("component", "rep").alias("component"))
