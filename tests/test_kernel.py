@@ -26,23 +26,46 @@ def toy():
 
 
 def test_small_exact_graphs():
-    g = LocalGraph(3, np.array([0, 1]), np.array([1, 2]), np.array([2.0, 3.0]))
-    x = np.array([[1.0], [-2.0], [4.0]])
-    assert g.degree.tolist() == [2, 5, 3]
-    assert g.times(x)[:, 0].tolist() == [6, -24, 18]
-    assert g.energy(x).tolist() == [126]
-    g = LocalGraph(4, np.array([3, 0, 1, 2]), np.array([1, 2, 3, 0]), np.array([0.25, 4, 0.75, 1]))
-    assert list(zip(g.u.tolist(), g.v.tolist(), g.w.tolist(), strict=True)) == [(0, 2, 5.0), (1, 3, 1.0)]
+    g = LocalGraph(4, np.array([0, 1, 1]), np.array([1, 2, 3]), np.array([1.5, 0.5, 4.0]))
+    x = np.array([[2.0], [0.0], [-4.0], [1.0]])
+    assert g.degree.tolist() == [1.5, 6, 0.5, 4]
+    assert g.times(x)[:, 0].tolist() == [3, -5, -2, 4]
+    assert g.energy(x).tolist() == [18]
+    g = LocalGraph(5, np.array([4, 2, 0, 1, 2]), np.array([0, 1, 4, 2, 3]), np.array([1.0, 0.5, 2.0, 0.25, 8.0]))
+    assert list(zip(g.u.tolist(), g.v.tolist(), g.w.tolist(), strict=True)) == [(0, 4, 3.0), (1, 2, 0.75), (2, 3, 8.0)]
 
 
 def test_forest():
-    parent, weight = heavy_parents(LocalGraph(3, np.array([0, 0, 1]), np.array([1, 2, 2]), np.array([4.0, 4, 5])))
-    assert parent.tolist() == [1, 2, 1] and weight.tolist() == [4, 5, 5]
+    parent, weight = heavy_parents(LocalGraph(4, np.array([0, 0, 1, 2]), np.array([1, 3, 3, 3]), np.array([2.0, 2, 7, 7])))
+    assert parent.tolist() == [1, 3, 3, 1] and weight.tolist() == [2, 7, 7, 7]
+    # A published path and its cut.
     assert split_forest(np.array([1, 0, 1, 2, 3, 4, 5, 6])).tolist() == [1, 0, 1, 2, 4, 4, 5, 6]
-    k10 = LocalGraph(10, *np.triu_indices(10, 1), np.ones(45))
-    assert grouping(k10, 0.125)["final_parent"].tolist() == [1, 0, *range(2, 10)]
-    lone = grouping(LocalGraph(4, np.array([0]), np.array([1]), np.array([2.0])), 0.125)
-    assert lone["label"].tolist() == [0, 0, 1, 2]
+    small = np.array([0, 0, 0, 1, 1, 2])  # fewer vertices than any cut takes
+    assert split_forest(small).tolist() == small.tolist()
+    two_stars = np.array([0, 0, 0, 0, 0, 0, 5, 5, 5, 5])  # two centres, joined by the edge 5-0: each has more than two others
+    assert split_forest(two_stars)[5] in (0, 5) and (split_forest(two_stars)[[6, 7, 8, 9]] == 5).all()
+    k12 = LocalGraph(12, *np.triu_indices(12, 1), np.full(66, 3.0))
+    assert grouping(k12, 0.125)["final_parent"].tolist() == [1, 0, *range(2, 12)]
+    lone = grouping(LocalGraph(6, np.array([2]), np.array([5]), np.array([0.5])), 0.125)
+    assert lone["label"].tolist() == [0, 1, 2, 3, 4, 2]
+
+
+def test_splitting_keeps_trees_apart_and_paths_short():
+    rng = np.random.default_rng(11)
+    for n in (1, 8, 60, 400):
+        for reach in (1, 3, n):
+            parents = np.maximum(np.arange(n) - rng.integers(1, reach + 1, n), 0)
+            cut = split_forest(parents)
+            assert ((cut == parents) | (cut == np.arange(n))).all()  # it only makes roots
+            shift = rng.integers(0, 3, n).cumsum()  # other names in the same order, and strangers between: the same cuts
+            wide = np.arange(shift[-1] + n)
+            wide[shift + np.arange(n)] = (shift + np.arange(n))[parents]
+            assert (split_forest(wide)[shift + np.arange(n)] == (shift + np.arange(n))[cut]).all()
+            depth, at = np.zeros(n, int), np.arange(n)
+            while (cut[at] != at).any():
+                depth += cut[at] != at
+                at = cut[at]
+            assert depth.max(initial=0) <= 2 * 6
 
 
 def test_toy_hierarchy_and_solve():
@@ -57,9 +80,9 @@ def test_toy_hierarchy_and_solve():
 
 
 def test_terminal_rules():
-    star = LocalGraph(6, np.zeros(5, int), np.arange(1, 6), np.ones(5))
-    k10 = LocalGraph(10, *np.triu_indices(10, 1), np.ones(45))
-    cases = [(path(3), {}, "Direct"), (star, {"direct_threshold": 1}, "FullContraction"), (k10, {"direct_threshold": 1}, "StagnatedVertexReduction"), (path(24), {"direct_threshold": 1, "fill_limit": 0.5}, "StagnatedFill"), (path(24), {"direct_threshold": 1, "max_levels": 1}, "MaximumLevels")]
+    wheel = LocalGraph(9, np.zeros(8, int), np.arange(1, 9), np.linspace(1, 2, 8))
+    k14 = LocalGraph(14, *np.triu_indices(14, 1), np.full(91, 0.25))
+    cases = [(path(5), {}, "Direct"), (wheel, {"direct_threshold": 1}, "FullContraction"), (k14, {"direct_threshold": 1}, "StagnatedVertexReduction"), (path(40), {"direct_threshold": 2, "fill_limit": 0.75}, "StagnatedFill"), (path(40), {"direct_threshold": 2, "max_levels": 1}, "MaximumLevels")]
     for g, o, reason in cases:
         assert Hierarchy.build(g, HierarchyOptions(**o)).levels[-1].terminal == reason
 
@@ -104,19 +127,19 @@ def test_solves_match_dense_algebra(scale):
 
 
 def test_factor_grounds_each_component():
-    g = LocalGraph(5, np.array([0, 3]), np.array([1, 4]), np.array([2.0, 4.0]))
+    g = LocalGraph(6, np.array([1, 0, 4]), np.array([2, 1, 5]), np.array([5.0, 0.5, 8.0]))
     f = Factor(g)
-    assert f.anchors.tolist() == [1, 2, 4]
-    x = f.solve(np.array([[1.0], [-1.0], [0.0], [2.0], [-2.0]]))[:, 0]
-    assert np.allclose(x, [0.5, 0, 0, 0.5, 0])
+    assert f.anchors.tolist() == [2, 3, 5]
+    x = f.solve(np.array([[1.0], [4.0], [-5.0], [0.0], [-4.0], [4.0]]))[:, 0]
+    assert np.allclose(x, [3, 1, 0, 0, -0.5, 0])
 
 
 def test_errors():
     g = path(4)
     root = smallest_members(4, g.u, g.v)
-    assert abs(projected(np.array([1e9, -1e9, 1e-7, 0]), root, 1e-7).sum()) == 0
+    assert abs(projected(np.array([-2e9, 3e-8, 0, 2e9]), root, 1e-7).sum()) == 0
     with pytest.raises(errors.IncompatibleRhs):
-        projected(np.array([1.0, 0, 0, 0]), root, 1e-7)
+        projected(np.array([0.5, 0, 0.25, 0]), root, 1e-7)
     with pytest.raises(errors.NonFiniteValue):
         projected(np.array([np.nan, 0, 0, 0]), root, 1e-7)
     with pytest.raises(errors.MaximumIterations):

@@ -20,10 +20,10 @@ def rows(df, *order):
 
 
 def test_canonical_and_rejects(spark):
-    e = spark.createDataFrame([(3, 1, 0.25), (0, 2, 4.0), (1, 3, 0.75), (2, 0, 1.0)], "u long, v long, w double")
+    e = spark.createDataFrame([(4, 0, 0.5), (2, 3, 1.25), (0, 4, 2.5), (3, 2, 0.75), (1, 2, 6.0)], "u long, v long, w double")
     for exact in (False, True):
-        assert rows(G.canonical(e, 4, exact), "u") == [(0, 2, 5.0), (1, 3, 1.0)]
-    for bad, n, word in (((0, 2, 1.0), 2, "VertexOutOfBounds"), ((1, 1, 1.0), 3, "SelfLoop"), ((0, 1, 0.0), 3, "InvalidEdgeWeight"), ((0, 1, float("nan")), 3, "InvalidEdgeWeight"), ((0, 1 << 33, 1.0), None, "VertexIndexTooWide"), ((None, 1, 1.0), 3, "null")):
+        assert rows(G.canonical(e, 5, exact), "u", "v") == [(0, 4, 3.0), (1, 2, 6.0), (2, 3, 2.0)]
+    for bad, n, word in (((3, 7, 2.0), 5, "VertexOutOfBounds"), ((4, 4, 2.0), 6, "SelfLoop"), ((2, 3, -0.5), 4, "InvalidEdgeWeight"), ((0, 1, float("nan")), 3, "InvalidEdgeWeight"), ((0, 1 << 33, 1.0), None, "VertexIndexTooWide"), ((None, 1, 1.0), 3, "null")):
         with pytest.raises(Exception, match=word):
             G.canonical(spark.createDataFrame([bad], "u long, v long, w double"), n).collect()
     assert G.canonical(e.limit(0)).count() == 0
@@ -52,9 +52,9 @@ def test_grouping_matches_the_kernel(spark):
 
 
 def test_center_and_project(spark):
-    x = spark.createDataFrame([(i, v) for i, v in enumerate([5.0, 7.0, 1.0, -2.0, 4.0, 9.0])], "id long, val double")
-    c = spark.createDataFrame(list(enumerate([0, 1, 0, 3, 3, 5])), "id long, component long")
-    assert [r[1] for r in rows(G.center(x, c), "id")] == [2, 0, -2, -3, 3, 0]
+    x = spark.createDataFrame([(i, v) for i, v in enumerate([8.0, -1.0, 2.5, 2.0, 0.5, -4.0, 3.0])], "id long, val double")
+    c = spark.createDataFrame(list(enumerate([0, 1, 1, 0, 4, 0, 4])), "id long, component long")
+    assert [r[1] for r in rows(G.center(x, c), "id")] == [6, -1.75, 1.75, 0, -1.25, -6, 1.25]
     with pytest.raises(Exception, match="IncompatibleRhs"):
         G.project_rhs(x, c).collect()
 
@@ -69,14 +69,14 @@ def test_sums(spark):
 
 
 def test_sddm(spark):
-    diag = spark.createDataFrame([(0, 3.0), (1, 2.0)], "i long, d double")
-    off = spark.createDataFrame([(0, 1, -1.0)], "i long, j long, a double")
-    assert rows(sddm.augment(diag, off, 2), "u", "v") == [(0, 1, 1.0), (0, 2, 2.0), (1, 2, 1.0)]
-    b = spark.createDataFrame([(0, 4.0), (1, -2.0)], "id long, val double")
-    assert rows(sddm.lift(b, 2), "id") == [(0, 4.0), (1, -2.0), (2, -2.0)]
-    x = spark.createDataFrame([(0, 7.0), (1, 4.0), (2, 5.0)], "id long, val double")
-    assert rows(sddm.extract(x, 2), "id") == [(0, 2.0), (1, -1.0)]
-    for d, o, word in (([(0, 3.0), (1, 2.0)], [(0, 1, 1.0)], "PositiveOffDiagonal"), ([(0, 0.5), (1, 2.0)], [(0, 1, -1.0)], "NotDominant")):
+    diag = spark.createDataFrame([(0, 5.0), (1, 2.5), (2, 1.5)], "i long, d double")
+    off = spark.createDataFrame([(0, 1, -2.0), (1, 2, -0.5)], "i long, j long, a double")
+    assert rows(sddm.augment(diag, off, 3), "u", "v") == [(0, 1, 2.0), (0, 3, 3.0), (1, 2, 0.5), (2, 3, 1.0)]
+    b = spark.createDataFrame([(0, 1.5), (1, 0.5), (2, -5.0)], "id long, val double")
+    assert rows(sddm.lift(b, 3), "id") == [(0, 1.5), (1, 0.5), (2, -5.0), (3, 3.0)]
+    x = spark.createDataFrame([(0, 6.0), (1, -1.0), (2, 3.5), (3, 2.0)], "id long, val double")
+    assert rows(sddm.extract(x, 3), "id") == [(0, 4.0), (1, -3.0), (2, 1.5)]
+    for d, o, word in (([(0, 9.0), (1, 4.0)], [(0, 1, 2.5)], "PositiveOffDiagonal"), ([(0, 6.0), (1, 0.25)], [(0, 1, -3.0)], "NotDominant")):
         with pytest.raises(Exception, match=word):
             a, c = sddm.canonical(spark.createDataFrame(d, "i long, d double"), spark.createDataFrame(o, "i long, j long, a double"))
             a.collect(), c.collect()
@@ -115,8 +115,8 @@ def test_demeaning_matches_least_squares(spark, schur, swap):
     data = []
     for a in range(40):
         for t in range(7):
-            degree = (1, 2, 5, 6)[a % 4]
-            b = (a * 3 + t % degree) % 12 if a < 36 else 20
+            degree = (7, 1, 3, 5, 6)[a % 5]
+            b = (a * a + 5 * (t % degree)) % 17 if a < 35 else 30
             data.append((len(data), b if swap else a, a if swap else b, float(rng.lognormal()), float(rng.normal()), 0.0, 3.0))
     p = spark.createDataFrame(data, "obs long, a long, b long, w double, y double, zero double, three double")
     out, report = panel.demean(p, ["y", "zero", "three"], 1e-10, schur=schur)
@@ -174,7 +174,7 @@ def test_generators(spark):
 def test_stream_of_frames(spark, tmp_path):
     from meshwright.streaming.frames import stream_frames
 
-    topology = G.prepared(spark.createDataFrame([(0, 0, 1), (1, 1, 0), (2, 1, 2)], "input_idx long, u long, v long")).localCheckpoint()
+    topology = G.prepared(spark.createDataFrame([(0, 0, 1), (1, 1, 0), (2, 1, 2)], "input_idx long, u long, v long"))
     spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (0, 2, 3.0)], "frame int, input_idx long, w double").write.json(str(tmp_path / "in"))
     seen = []
     stream = spark.readStream.schema("frame int, input_idx long, w double").json(str(tmp_path / "in"))
