@@ -12,7 +12,7 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..operators.components import shared_dir, written
 
-__all__ = ["WORD", "documents", "flagged", "present", "shared_dir", "words", "written"]
+__all__ = ["WORD", "documents", "flagged", "free", "present", "shared_dir", "words", "written"]
 
 #: A word: a run of anything but space and the ASCII controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,6 +28,14 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 FILTER_BITS = 1 << 23
 
 
@@ -52,9 +60,10 @@ def flagged(rows: DataFrame, ids: DataFrame, key: str, into: str = "_maybe") ->
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(hit)], names=[*batch.schema.names[:width], into])
 
     schema = StructType([*rows.schema.fields, StructField(into, BooleanType())])
-    return rows.withColumn("_code", F.when(F.col(key).isNotNull(), code).otherwise(F.lit(-1))).mapInArrow(run, schema)
+    return rows.withColumn(free(rows, "code"), F.when(F.col(key).isNotNull(), code).otherwise(F.lit(-1))).mapInArrow(run, schema)
 
 
 def present(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Those rows whose key may be among ids: see flagged."""
-    return flagged(rows, ids, key).filter("_maybe").drop("_maybe")
+    maybe = free(rows, "maybe")
+    return flagged(rows, ids, key, maybe).filter(F.col(maybe)).drop(maybe)

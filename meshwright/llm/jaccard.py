@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import flagged, present, written
+from .common import flagged, free, present, written
 from .hashing import mixed, parts, runs, word_hashes
 
 BANDS, ROWS = 6, 2
@@ -375,5 +375,6 @@ def one_of_each(docs: DataFrame, classes: DataFrame, key: str = "doc_id") -> Dat
     Rows with one key are one document and stay together; rows with a null key stay.
     """
     gone = written(classes.filter(F.col("component_id") < F.col(key)).select(key).distinct(), "gone")
-    rows = flagged(docs, gone, key)
-    return rows.filter("not _maybe").drop("_maybe").unionByName(rows.filter("_maybe").drop("_maybe").join(gone, key, "left_anti"))
+    maybe = free(docs, "maybe")
+    rows = flagged(docs, gone, key, maybe)
+    return rows.filter(~F.col(maybe)).drop(maybe).unionByName(rows.filter(F.col(maybe)).drop(maybe).join(gone, key, "left_anti"))

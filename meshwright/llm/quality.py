@@ -1,66 +1,92 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-The model's symbols are 64 classes of bytes, so that a model of order 4 has at most 64^4 probabilities
-whatever it is trained on. Counts are taken from all trusted text but one fold, as a table sharded by
-n-gram; continuation counts, discounts, and each n-gram's share of its context come from joins and
-aggregates of those shards. Because the finished model has a proven bound (32 MB), documents are scored
-against a copy of it in one narrow pass and none of their n-grams is shuffled. Thresholds are quantiles,
-by language, of the perplexities of the trusted fold that the model has not seen, beside those of rows labelled bad.
+Symbols are code points (classes of 12 bits: every code point below 2048 has its own, all others share
+the rest by a hash), so that all scripts count; an n-gram is one long, from which its context and its
+shorter n-gram follow. Counts are taken from all trusted text but one fold, as a table sharded by n-gram;
+continuation counts, discounts, and each n-gram's share of its context come from joins and aggregates of
+those shards. The model is what was seen, and grows with the trusted text. While its checked size is
+within a bound, a copy goes to each task and no text is shuffled; beyond it the distinct n-grams of blocks
+of documents are joined with the shards of the model, and each block is scored from its own answers. Both
+ways give the same perplexities. Thresholds are quantiles, by language, of the perplexities of the trusted
+fold that the model has not seen, beside those of rows labelled bad.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import present, written
+from .common import free, present, written
 
-#: Classes: letters a-z 0-25, A-Z 26-51, then digit, space, line end, ".", ",", "!", "|", other ASCII signs, bytes 128-191 by their halves, lead bytes, control bytes.
-BITS = 6
-PAD = 54
+BITS, OWN = 12, 2048
+SYMBOLS = 1 << BITS
+PAD = ord("\n")
+#: Symbols that are looked at together; longer texts are cut, shorter ones joined.
+PIECE = 1 << 19
+#: n-grams of a model that is copied to each task, and what one takes there.
+ENTRY = 16
 
 
-def byte_classes() -> np.ndarray:
-    out = np.full(256, 59, np.uint32)
-    out[ord("a") : ord("z") + 1] = np.arange(26)
-    out[ord("A") : ord("Z") + 1] = np.arange(26, 52)
-    out[ord("0") : ord("9") + 1] = 52
-    out[ord(" ")], out[10], out[13], out[9] = 53, 54, 54, 53
-    for c, k in zip(".,!|", (55, 56, 57, 58), strict=True):
-        out[ord(c)] = k
-    out[128:160], out[160:192], out[192:] = 60, 61, 62
-    out[:9] = out[11:13] = out[14:32] = 63
-    return out
+def symbols(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return np.where(points < OWN, points, OWN + ((points * 0x9E3779B1 & 0xFFFFFFFF) >> 21))
 
 
-def grams(data: np.ndarray, order: int) -> np.ndarray:
-    """The n-gram code that ends at each byte; the text is preceded by order - 1 line ends."""
-    symbols = np.concatenate([np.full(order - 1, PAD, np.uint32), byte_classes()[data]])
-    out = np.zeros(len(data), np.uint32)
-    for k in range(order):
-        out = (out << np.uint32(BITS)) | symbols[k : k + len(data)]
-    return out
+def grams(texts: list[str], order: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The n-gram that ends at each symbol of the texts, and the number of its text, in pieces. A text is preceded by order - 1 line ends."""
+    held: list[tuple[int, str]] = []
+    size = 0
+
+    def coded() -> tuple[np.ndarray, np.ndarray]:
+        s = symbols("".join(x for _, x in held))
+        code = np.zeros(len(s) - order + 1, np.int64)
+        for k in range(order):
+            code = (code << BITS) | s[k : k + len(code)]
+        n = np.array([len(x) for _, x in held])
+        starts = np.cumsum(n) - n
+        lengths = n - order + 1
+        where = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+        return code[where], np.repeat([i for i, _ in held], lengths)
+
+    for i, text in enumerate(texts):
+        for at in range(0, len(text), piece):
+            before = text[max(0, at - order + 1) : at]
+            held.append((i, "\n" * (order - 1 - len(before)) + before + text[at : at + piece]))
+            size += len(held[-1][1])
+            if size >= piece:
+                yield coded()
+                held, size = [], 0
+    if held:
+        yield coded()
+
+
+def _texts(column: pa.Array) -> list[str]:
+    return [(x.as_py() or b"").decode("utf-8", "replace") for x in column]
 
 
 def _counts(texts: DataFrame, order: int) -> DataFrame:
-    """(gram, n), in partial sums of each task: at most 64^order rows from any."""
+    """(gram, n), in partial sums of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << BITS * order, np.int64)
+        held, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held), pa.array(counts)], names=["gram", "n"])
+
         for batch in batches:
-            for value in batch.column(0):
-                if value.is_valid and (data := value.as_py()):
-                    found, n = np.unique(grams(np.frombuffer(data, np.uint8), order), return_counts=True)
-                    held[found] += n
-        seen = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(held[seen])], names=["gram", "n"])
+            for codes, _ in grams(_texts(batch.column(0)), order):
+                found, n = np.unique(codes, return_counts=True)
+                held, where = np.unique(np.concatenate([held, found]), return_inverse=True)
+                counts = np.bincount(where, np.concatenate([counts, n]), len(held)).astype(np.int64)
+                if len(held) > 2_000_000:
+                    yield packed()
+                    held, counts = held[:0], counts[:0]
+        yield packed()
 
     return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -74,68 +100,115 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(d, 0.1 * k), float(k)) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
 
 
-def train(texts: DataFrame, order: int = 4) -> np.ndarray:
-    """Log probabilities of each symbol after each context: 64^order values of 16 bits, from texts(text binary)."""
-    symbols = 1 << BITS
+def _tagged(gram: Column, k: int) -> Column:
+    """An n-gram of k symbols, apart from those of other lengths."""
+    return gram.bitwiseOR(F.lit(k << BITS * 5))
+
+
+def train(texts: DataFrame, order: int = 5) -> DataFrame:
+    """The model of texts(text binary), written: (code, share, back), one row for each n-gram of up to `order` symbols that was seen.
+
+    share: its discounted share of its context; back: the weight of the shorter context after it. order: 5 at most.
+    """
     tables = {order: written(_counts(texts, order), "counts")}
     for k in range(order - 1, 0, -1):  # continuation counts: how many symbols stand before
-        tables[k] = written(tables[k + 1].groupBy((F.col("gram") % symbols**k).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "counts")
-    p = np.full(symbols, 1 / symbols)
+        tables[k] = written(tables[k + 1].groupBy((F.col("gram") % (1 << BITS * k)).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "counts")
+    found: DataFrame | None = None
     for k in range(1, order + 1):
         d = _discounts(tables[k])
         cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        rows = tables[k].select("gram", F.floor(F.col("gram") / symbols).alias("context"), "n", cut.alias("cut"))
+        rows = tables[k].select("gram", F.shiftright("gram", BITS).alias("context"), "n", cut.alias("cut"))
         contexts = rows.groupBy("context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("back"))
-        found = rows.join(contexts, "context").select("gram", "context", ((F.col("n") - F.col("cut")) / F.col("total")).alias("share"), "back").toArrow()
-        gram, context, share, back = (np.asarray(found.column(c)) for c in ("gram", "context", "share", "back"))
-        weight = np.ones(symbols ** (k - 1))
-        weight[context] = back
-        p = (weight[:, None] * (p if k == 1 else np.tile(p.reshape(-1, symbols), (symbols, 1)))).ravel()
-        p[gram] += share
-    return np.log(p).astype(np.float16)
+        shares = rows.join(contexts, "context").select(_tagged(F.col("gram"), k).alias("code"), ((F.col("n") - F.col("cut")) / F.col("total")).cast("float").alias("share"), F.lit(None).cast("float").alias("back"))
+        both = shares.unionByName(contexts.select(_tagged(F.col("context"), k - 1).alias("code"), F.lit(None).cast("float").alias("share"), F.col("back").cast("float").alias("back")))
+        found = both if found is None else found.unionByName(both)
+    model = found.groupBy("code").agg(F.coalesce(F.max("share"), F.lit(0.0)).cast("float").alias("share"), F.coalesce(F.max("back"), F.lit(1.0)).cast("float").alias("back"))
+    return written(model, "model")
 
 
-_models: dict[int, np.ndarray] = {}
+def probabilities(codes: np.ndarray, order: int, known: np.ndarray, share: np.ndarray, back: np.ndarray) -> np.ndarray:
+    """Of each n-gram of `order` symbols: the probability of its last symbol after the others. known: the model's codes, ascending."""
 
+    def looked_up(wanted: np.ndarray, values: np.ndarray, otherwise: float) -> np.ndarray:
+        different, where = np.unique(wanted, return_inverse=True)
+        if not len(known):
+            return np.full(len(wanted), otherwise)
+        at = np.minimum(np.searchsorted(known, different), len(known) - 1)
+        return np.where(known[at] == different, values[at].astype(np.float64), otherwise)[where]
+
+    p = np.full(len(codes), 1 / SYMBOLS)
+    for k in range(1, order + 1):
+        gram = codes & ((1 << BITS * k) - 1)
+        p = looked_up(gram | (k << BITS * 5), share, 0.0) + looked_up((gram >> BITS) | ((k - 1) << BITS * 5), back, 1.0) * p
+    return p
 
-def _unpacked(shared: Broadcast) -> np.ndarray:
-    """The model, unpacked once in each worker; only the last one is kept."""
-    data = shared.value
-    key = zlib.crc32(data) << 32 | len(data)
-    if key not in _models:
-        _models.clear()
-        _models[key] = np.frombuffer(zlib.decompress(data), np.float16)
-    return _models[key]
 
+def _perplexities(texts: list[str], order: int, known: np.ndarray, share: np.ndarray, back: np.ndarray) -> pa.Array:
+    """The mean negative log probability of each text's symbols; null for an empty one."""
+    total = np.zeros(len(texts))
+    for codes, rows in grams(texts, order):
+        different, where = np.unique(codes, return_inverse=True)
+        total += np.bincount(rows, np.log(probabilities(different, order, known, share, back))[where], len(texts))
+    n = np.array([len(t) for t in texts])
+    return pa.array(-total / np.maximum(n, 1), pa.float64(), mask=n == 0)
 
-def published(spark: SparkSession, model: np.ndarray) -> Broadcast:
-    """A broadcast of the packed model."""
-    return spark.sparkContext.broadcast(zlib.compress(model.tobytes(), 1))
 
+def scored(docs: DataFrame, model: DataFrame, order: int = 5, text: str = "text", key: str = "doc_id", into: str = "log_perplexity", most_bytes: int = 64 << 20, block_rows: int = 8192) -> DataFrame:
+    """docs with the mean negative log probability of the text's symbols; null where there is no text.
 
-def scored(docs: DataFrame, model: Broadcast, order: int = 4, text: str = "text", into: str = "log_perplexity") -> DataFrame:
-    """docs with the mean negative log probability of the text's symbols; null where there is no text."""
+    A model of up to most_bytes is copied to the tasks; of a larger one each block of about block_rows documents gets what it asks for.
+    """
     docs = docs.drop(into)
-    width = len(docs.columns)
+    width, names = len(docs.columns), docs.columns
+    schema = StructType([*docs.schema.fields, StructField(into, DoubleType())])
+    spark = docs.sparkSession
+    if model.count() * ENTRY <= most_bytes:
+        table = model.toArrow().sort_by("code")
+        shared = spark.sparkContext.broadcast(tuple(np.asarray(table.column(c)) for c in ("code", "share", "back")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _unpacked(model)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], _perplexities(_texts(batch.column(width)), order, *shared.value)], names=[*names, into])
+
+        return docs.withColumn(free(docs, "bytes"), F.col(text).cast("binary")).mapInArrow(run, schema)
+
+    blocks = max(1, -(-docs.count() // block_rows))
+    rows = docs.select(F.pmod(F.xxhash64(key, text), F.lit(blocks)).alias("block"), F.struct(*docs.columns).alias("row"), F.col(text).cast("binary").alias("text"))
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[float | None] = []
-            for value in batch.column(width):
-                data = value.as_py() if value.is_valid else b""
-                if not data:
-                    out.append(None)
+            block = np.asarray(batch.column(0))
+            for b in np.unique(block).tolist():
+                held = [codes for codes, _ in grams(_texts(batch.column(1).filter(pa.array(block == b))), order)]
+                top = np.unique(np.concatenate(held)) if held else np.zeros(0, np.int64)
+                parts = [(top & ((1 << BITS * k) - 1)) | (k << BITS * 5) for k in range(1, order + 1)] + [((top & ((1 << BITS * k) - 1)) >> BITS) | ((k - 1) << BITS * 5) for k in range(1, order + 1)]
+                codes = np.unique(np.concatenate(parts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), b)), pa.array(codes)], names=["block", "code"])
+
+    requests = rows.select("block", "text").repartition("block").mapInArrow(asked, "block long, code long").distinct()
+    none = F.lit(None)
+    answers = requests.join(model, "code").select("block", F.lit(0).alias("role"), none.cast(rows.schema["row"].dataType).alias("row"), none.cast("binary").alias("text"), "code", "share", "back")
+    every = answers.unionByName(rows.select("block", F.lit(1).alias("role"), "row", "text", none.cast("long").alias("code"), none.cast("float").alias("share"), none.cast("float").alias("back")))
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, table = None, [], None
+        for batch in batches:
+            block, role = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            edges = np.flatnonzero(np.append(True, (block[1:] != block[:-1]) | (role[1:] != role[:-1])))
+            for a, z in zip(edges.tolist(), [*edges[1:].tolist(), len(block)], strict=True):
+                part = batch.slice(a, z - a)
+                if block[a] != at:
+                    at, held, table = block[a], [], None
+                if role[a] == 0:
+                    held.append(part.select(["code", "share", "back"]))
                     continue
-                total = 0.0
-                for i in range(0, len(data), 1 << 22):  # bounded memory for very long texts
-                    part = np.frombuffer(data, np.uint8)[max(0, i - order + 1) : i + (1 << 22)]
-                    total += float(table[grams(part, order)][min(i, order - 1) :].sum(dtype=np.float64))
-                out.append(-total / len(data))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(out, pa.float64())], names=[*batch.schema.names[:width], into])
+                if table is None:
+                    found = pa.Table.from_batches(held).sort_by("code") if held else None
+                    table = tuple(np.asarray(found.column(c)) for c in ("code", "share", "back")) if held else (np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32))
+                row = part.column(2)
+                yield pa.RecordBatch.from_arrays([*row.flatten(), _perplexities(_texts(part.column(3)), order, *table)], names=[*names, into])
 
-    schema = StructType([*docs.schema.fields, StructField(into, DoubleType())])
-    return docs.withColumn("_bytes", F.col(text).cast("binary")).mapInArrow(run, schema)
+    return every.repartition("block").sortWithinPartitions("block", "role").mapInArrow(answered, schema)
 
 
 def thresholds(held_out: DataFrame, bad: DataFrame, quantile: float, least: int) -> DataFrame:
@@ -162,7 +235,7 @@ def thresholds(held_out: DataFrame, bad: DataFrame, quantile: float, least: int)
     return of(bins.filter("lang is not null"), above.select("lang", "v"), ["lang"]).filter(F.col("total") >= least).select("lang", "threshold").unionByName(every)
 
 
-def judge(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float = 0.98, least: int = 50, folds: int = 10, most_languages: int = 10_000, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.98, least: int = 50, folds: int = 10, most_languages: int = 10_000, most_bytes: int = 64 << 20, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """docs with log_perplexity, threshold and keep (not above the threshold of the row's language).
 
     Trusted text: all rows of docs whose key labels calls of good quality and not toxic. One of `folds` parts of
@@ -176,14 +249,15 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = 4, quantile: float =
     rows = docs.select(F.col(key).alias("_id"), F.col(lang).alias("lang"), F.col(text).cast("binary").alias("text"))
     fold = F.pmod(F.xxhash64("_id"), F.lit(folds))
     trusted = called.filter("good").select("_id")
-    model = published(docs.sparkSession, train(present(rows.filter(fold != 0), trusted, "_id").join(trusted, "_id").select("text"), order))
+    model = train(present(rows.filter(fold != 0), trusted, "_id").join(trusted, "_id").select("text"), order)
     asked = called.filter((fold == 0) | ~F.col("good"))  # scored before they are joined, so that no text is shuffled
-    seen = written(scored(present(rows, asked, "_id"), model, order).select("_id", "lang", "log_perplexity").join(asked, "_id"), "held_out")
+    seen = written(scored(present(rows, asked, "_id"), model, order, key="_id", most_bytes=most_bytes).select("_id", "lang", "log_perplexity").join(asked, "_id"), "held_out")
     limits = written(thresholds(seen.filter("good"), seen.filter("not good"), quantile, least), "thresholds")
     every = limits.filter("lang is null").first()
-    limits = limits.filter("lang is not null").select(F.col("lang").alias("_lang"), F.col("threshold").alias("_limit"))
+    of, limit = free(docs, "of"), free(docs, "limit")
+    limits = limits.filter("lang is not null").select(F.col("lang").alias(of), F.col("threshold").alias(limit))
     if limits.count() <= most_languages:  # checked: else the rows are shuffled by language
         limits = F.broadcast(limits)
-    out = scored(docs, model, order, text).join(limits, F.col(lang) == F.col("_lang"), "left")
-    limit = F.coalesce("_limit", F.lit(every["threshold"] if every else None).cast("double"))
-    return out.select(*docs.columns, "log_perplexity", limit.alias("threshold"), F.coalesce(F.col("log_perplexity") <= limit, F.lit(True)).alias("keep"))
+    out = scored(docs, model, order, text, key, most_bytes=most_bytes).join(limits, F.col(lang) == F.col(of), "left")
+    cut = F.coalesce(limit, F.lit(every["threshold"] if every else None).cast("double"))
+    return out.select(*docs.columns, "log_perplexity", cut.alias("threshold"), F.coalesce(F.col("log_perplexity") <= cut, F.lit(True)).alias("keep"))

@@ -25,7 +25,7 @@ def frame(spark, rows):
     """rows: (id, text) or (id, text, source). The columns that clash with results are there on purpose."""
     data = [(r[0], r[1], "en", r[2] if len(r) > 2 else "a", len(r[1] or "")) for r in rows]
     df = spark.createDataFrame(data, SCHEMA)
-    for c in ("n_tokens", "size", "copies", "keep", "doc", "token", "component", "_line", "n_lines", "n_removed", "words", "term"):
+    for c in ("n_tokens", "size", "copies", "keep", "doc", "token", "component", "_line", "_lines", "_h", "_hash", "_key", "_bytes", "bytes", "of", "limit", "_maybe", "maybe", "_mix_room", "_mix_block", "_shard", "_copy", "code", "n_lines", "n_removed", "words", "term"):
         df = df.withColumn(c, F.lit("clash"))
     return df
 
@@ -179,16 +179,16 @@ def brute_lines(rows, min_lines, min_chars):
     for i, ls in sorted(docs):
         gone = set()
         for k, line in enumerate(ls):
-            if singles.setdefault(line, (i, k)) != (i, k) and len(line) >= min_chars:
+            if singles.setdefault(line, (i, k)) != (i, k) and len(line.strip(" ")) >= min_chars:
                 gone.add(k)
-            if k + min_lines <= len(ls) and windows.setdefault(tuple(ls[k : k + min_lines]), (i, k)) != (i, k):
+            if k + min_lines <= len(ls) and any(x.strip(" ") for x in ls[k : k + min_lines]) and windows.setdefault(tuple(ls[k : k + min_lines]), (i, k)) != (i, k):
                 gone.update(range(k, k + min_lines))
         out[i] = [x for k, x in enumerate(ls) if k not in gone]
     assert positions or not rows
     return out
 
 
-@pytest.mark.parametrize("min_lines,min_chars", [(4, 60), (2, 8), (1, 0)])
+@pytest.mark.parametrize("min_lines,min_chars", [(4, 60), (2, 8), (2, 24), (1, 1)])
 def test_lines(spark, min_lines, min_chars):
     rng = random.Random(6)
     pool = [sentence(rng, rng.randrange(0, 12)) for _ in range(12)]
@@ -326,10 +326,9 @@ def test_substrings(spark, odd, max_group):
 
 def kneser_ney(texts, order):
     """Probabilities by definition, from dictionaries."""
-    table = quality.byte_classes()
     counts = {k: defaultdict(int) for k in range(1, order + 1)}
     for t in texts:
-        s = [quality.PAD] * (order - 1) + [int(table[b]) for b in t.encode()]
+        s = [quality.PAD] * (order - 1) + quality.symbols(t).tolist()
         for i in range(order - 1, len(s)):
             counts[order][tuple(s[i - order + 1 : i + 1])] += 1
     for k in range(order - 1, 0, -1):
@@ -347,7 +346,7 @@ def kneser_ney(texts, order):
 
     def p(g):
         if not g:
-            return 1 / 64
+            return 1 / quality.SYMBOLS
         k = len(g)
         inside = [(x, c) for x, c in counts[k].items() if x[:-1] == g[:-1]]
         if not inside:
@@ -360,15 +359,55 @@ def kneser_ney(texts, order):
     return p
 
 
-def test_quality_model(spark):
-    texts = ["the cat sat", "the dog", "a cat\n", "Then 12 |!"]
-    model = quality.train(spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "text binary"), 3)
-    p = kneser_ney(texts, 3)
+@pytest.mark.parametrize("order", [3, 5])
+def test_quality_model(spark, order):
+    texts = ["the cat sat", "the dog", "a cat\n", "Then 12 |!", "собака и кот", "猫と犬と猫", "🐈🐕", ""]
+    model = quality.train(spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "text binary"), order).toArrow().sort_by("code")
+    table = [np.asarray(model.column(c)) for c in ("code", "share", "back")]
+    p = kneser_ney(texts, order)
     rng = random.Random(1)
-    for g in [tuple(rng.randrange(64) for _ in range(3)) for _ in range(40)] + [(0, 19, 53), (19, 7, 4), (quality.PAD, quality.PAD, 19)]:
-        code = (g[0] * 64 + g[1]) * 64 + g[2]
-        assert abs(float(model[code]) - np.log(p(g))) < 0.01
-    assert abs(np.exp(model.astype(float)).reshape(-1, 64).sum(axis=1) - 1).max() < 0.01
+    seen = sorted({c for t in texts for c in quality.symbols(t).tolist()})
+    tried = [tuple(rng.choice(seen) for _ in range(order)) for _ in range(40)] + [tuple(quality.symbols(t)[k : k + order].tolist()) for t in texts[:6] for k in range(len(t) - order + 1)]
+    codes = np.array([sum(x << quality.BITS * (order - 1 - i) for i, x in enumerate(g)) for g in tried], np.int64)
+    assert np.abs(quality.probabilities(codes, order, *table) / [p(g) for g in tried] - 1).max() < 1e-5
+    context = codes[-1] >> quality.BITS << quality.BITS
+    assert abs(quality.probabilities(context + np.arange(quality.SYMBOLS), order, *table).sum() - 1) < 1e-5
+
+
+def test_symbols_tell_scripts_and_letters_apart():
+    han = quality.symbols("".join(map(chr, range(0x4E00, 0xA000))))
+    assert len(np.unique(han)) > 0.99 * quality.OWN  # 2048 classes beyond Latin, Greek, Cyrillic, Hebrew and Arabic
+    assert len(np.unique(quality.symbols("".join(map(chr, range(1, quality.OWN)))))) == quality.OWN - 1
+
+
+def test_grams_do_not_depend_on_pieces():
+    rng = random.Random(6)
+    texts = ["", "a", sentence(rng, 300), "é" * 50, sentence(rng, 5)]
+
+    def by_text(piece):
+        out = defaultdict(list)
+        for codes, rows in quality.grams(texts, 5, piece):
+            for c, r in zip(codes.tolist(), rows.tolist(), strict=True):
+                out[r].append(c)
+        return out
+
+    assert by_text(1) == by_text(7) == by_text(1 << 19)
+    assert [len(by_text(7)[i]) for i in range(5)] == [len(t) for t in texts]
+
+
+def test_sharded_scores_equal_copied_ones(spark, odd):
+    rng = random.Random(8)
+    docs = frame(spark, odd + [(i, sentence(rng, 30)) for i in range(40, 140)]).withColumn("block", F.lit("clash")).withColumn("row", F.struct(F.lit(1).alias("x")))
+    model = quality.train(docs.filter("doc_id >= 40").select(F.col("text").cast("binary")))
+    copied, sharded = (quality.scored(docs, model, most_bytes=n, block_rows=30) for n in (1 << 30, 0))
+    assert copied.columns == sharded.columns == [*docs.columns, "log_perplexity"]
+    key = lambda r: (str(r["doc_id"]), str(r["text"]))
+    a, b = (sorted(df.collect(), key=key) for df in (copied, sharded))
+    assert [key(r) for r in a] == [key(r) for r in b]
+    assert all(x["log_perplexity"] == y["log_perplexity"] or abs(x["log_perplexity"] - y["log_perplexity"]) < 1e-9 for x, y in zip(a, b, strict=True))
+    empty = quality.train(docs.limit(0).select(F.col("text").cast("binary")))
+    for n in (1 << 30, -1):
+        assert abs(quality.scored(docs.filter("doc_id = 3"), empty, most_bytes=n).first()["log_perplexity"] - np.log(quality.SYMBOLS)) < 1e-9
 
 
 def test_quality_judgement(spark, odd):
