@@ -93,9 +93,9 @@ SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, round(target, 6
     "op6_lines": """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents WHERE text IS NOT NULL),
 one AS (SELECT line, min({'d': doc_id, 'k': k}) AS f FROM l GROUP BY line),
-w AS (SELECT doc_id, k, line AS a, lead(line) OVER o AS b, lead(line, 2) OVER o AS c, lead(line, 3) OVER o AS d FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
-four AS (SELECT a, b, c, d, min({'d': doc_id, 'k': k}) AS f FROM w WHERE d IS NOT NULL GROUP BY a, b, c, d),
-gone AS (SELECT doc_id, k FROM l JOIN one USING (line) WHERE length(line) >= 60 AND f <> {'d': doc_id, 'k': k} UNION SELECT doc_id, k + i FROM (SELECT doc_id, k FROM w JOIN four USING (a, b, c, d) WHERE f <> {'d': doc_id, 'k': k}), range(4) r(i)),
+w AS (SELECT doc_id, k, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS b FROM l),
+two AS (SELECT a, b, min({'d': doc_id, 'k': k}) AS f FROM w WHERE b IS NOT NULL AND length(trim(a, ' ')) + length(trim(b, ' ')) > 0 GROUP BY a, b),
+gone AS (SELECT doc_id, k FROM l JOIN one USING (line) WHERE length(trim(line, ' ')) >= 24 AND f <> {'d': doc_id, 'k': k} UNION SELECT doc_id, k + i FROM (SELECT doc_id, k FROM w JOIN two USING (a, b) WHERE f <> {'d': doc_id, 'k': k}), range(2) r(i)),
 x AS (SELECT l.doc_id, count(*) AS n, count(g.k) AS gone, string_agg(line, chr(10) ORDER BY l.k) FILTER (g.k IS NULL) AS kept FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.k = l.k GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(x.n, 0) AS n_lines, coalesce(x.gone, 0) AS n_removed, sha256(coalesce(x.kept, '')) AS kept_sha256 FROM documents d LEFT JOIN x USING (doc_id)""",
     "op8_search": f"""
