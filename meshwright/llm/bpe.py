@@ -38,7 +38,7 @@ class BytePairs:
     max_cached bounds the encodings of chunks that are kept; when full they are dropped and begun anew.
     """
 
-    def __init__(self, path: str, pattern: str, max_cached: int = 300_000) -> None:
+    def __init__(self, path: str, pattern: str, max_cached: int = 120_000) -> None:
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -168,6 +168,10 @@ class BytePairs:
                 self._plain(part, out)
         return out
 
+    def forget(self) -> None:
+        for kept in (self.cached, self.spaced, self.bare):
+            kept.clear()
+
     def decode(self, ids: list[int]) -> str:
         """The vocabulary's byte strings one after the other; what is no UTF-8 becomes U+FFFD."""
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
@@ -210,6 +214,7 @@ def bpe_round_trip(docs: DataFrame, model: str = "byte_bpe_50k.json", text: str
             if with_ids:
                 made += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays([*part.columns[1:], *made], names=[*part.schema.names[1:], "n_tokens", "ids_sha256", "decoded_sha256", *more])
+        coder.forget()  # the worker may go on with other work
 
     columns = [key, *(c for c in keep if c != key)]
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns]
