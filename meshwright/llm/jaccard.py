@@ -9,7 +9,9 @@ Equal sets are one class. A first verified round links each document to a typica
 min-hash buckets, its pivot, which joins large groups of copies by a linear number of comparisons. The
 prefix join then runs between the clusters found: what is counted for a pair of clusters is no less than
 for any pair of their documents, so no link between different clusters is lost, and pairs inside one are
-never listed.
+never listed. Where a cluster is one document, a shared token counts only if it lies in the prefix that the
+two sizes ask for: of n and m shingles a link shares o >= t (n + m) / (1 + t), more than t n, and the first
+n - o + l and m - o + l have l in common.
 
 Pairs with one pivot p are left to a third round. Let D(x) be the symmetric difference of x and p. Sets
 x and y link only if |x ^ y| <= (1 - t) / (1 + t) (|x| + |y|), and |D(x) & D(y)| is half of |D(x)| +
@@ -39,7 +41,7 @@ BANDS, ROWS = 6, 2
 #: Documents compared with one pivot from which on it is used as such.
 LEAST_GROUP = 8
 #: The most shared tokens that are asked for of two differences before they are compared.
-MOST_ASKED = 4
+MOST_ASKED = 8
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -151,29 +153,33 @@ def _prefixes(rows: DataFrame, width: int, percent: int, frequent: np.ndarray, c
 
 
 def _pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """From (token, cluster, low, high, need, group), one token's rows together: (a, b, shared, need) for clusters a < b of a token whose
-    sizes allow a link and that are not of one group (-1: of none)."""
-    names = ["token", "cluster", "low", "high", "need", "group"]
+    """From (token, cluster, low, high, need, group, at), one token's rows together: (a, b, shared, need) for clusters a < b of a token whose
+    sizes allow a link and that are not of one group (-1: of none). at: the token's place in a cluster's only document; -1: it has more."""
+    names = ["token", "cluster", "low", "high", "need", "group", "at"]
 
     def collapsed(table: pa.Table) -> tuple[np.ndarray, ...]:
-        """A row for each token and cluster, by token and low: token, cluster, low, high, need, group."""
-        token, cluster, n, high, need, group = (np.asarray(table.column(c)) for c in names)
+        """A row for each token and cluster, by token and low: token, cluster, low, high, need, group, at."""
+        token, cluster, n, high, need, group, place = (np.asarray(table.column(c)) for c in names)
         order = np.lexsort((cluster, token))
         token, cluster = token[order], cluster[order]
         starts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (cluster[1:] != cluster[:-1])))
         low, high, need = np.minimum.reduceat(n[order], starts), np.maximum.reduceat(high[order], starts), np.minimum.reduceat(need[order], starts)
-        token, cluster, group = token[starts], cluster[starts], group[order][starts]
+        token, cluster, group, place = token[starts], cluster[starts], group[order][starts], place[order][starts]
         order = np.lexsort((low, token))
-        return token[order], cluster[order], low[order], high[order], need[order], group[order]
+        return token[order], cluster[order], low[order], high[order], need[order], group[order], place[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Found()
         smaller = lambda tables: [pa.RecordBatch.from_arrays([pa.array(c) for c in collapsed(pa.Table.from_batches(tables))], names=names)]
         for tables in by_token(batches, smaller):
-            token, cluster, low, high, need, group = collapsed(pa.Table.from_batches(tables))
-            for at, step in steps(token, lambda at, step: 100 * high[at].astype(np.int64) >= percent * low[at + step].astype(np.int64)):  # noqa: B023
-                on = at[(group[at] != group[at + step]) | (group[at] < 0)]
-                yield from found.add(cluster[on], cluster[on + step], np.minimum(need[on], need[on + step]))
+            token, cluster, low, high, need, group, place = (x.astype(np.int64) for x in collapsed(pa.Table.from_batches(tables)))
+            for i, step in steps(token, lambda i, step: 100 * high[i] >= percent * low[i + step]):  # noqa: B023
+                i = i[(group[i] != group[i + step]) | (group[i] < 0)]
+                j = i + step
+                asked = np.minimum(need[i], need[j])
+                longest = asked + (percent * (low[i] + low[j])) // -(100 + percent)  # less what a link shares at least
+                on = ((place[i] < 0) | (place[i] < low[i] + longest)) & ((place[j] < 0) | (place[j] < low[j] + longest))
+                yield from found.add(cluster[i[on]], cluster[j[on]], asked[on])
         yield found.flush()
 
     return postings.mapInArrow(run, "a long, b long, shared long, need long")
@@ -340,12 +346,14 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, frequ
     pivots = written(best.select(F.col("b").alias("doc"), (-F.col("x.m")).alias("pivot"), "x.differs", "x.total", "x.need", "x.fresh"), "pivots")
     members = sets.select("rep", "n").join(clusters, F.col("rep") == F.col("id"), "left").join(pivots.select("doc", "pivot"), F.col("rep") == F.col("doc"), "left")
     members = written(members.select("rep", "n", F.coalesce("component", "rep").alias("cluster"), F.coalesce("pivot", F.lit(-1)).alias("pivot")), "members")
-    grouped = members.groupBy("cluster").agg(F.min("pivot").alias("low"), F.max("pivot").alias("high")).select("cluster", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1).alias("group"))
+    grouped = members.groupBy("cluster").agg(F.min("pivot").alias("low"), F.max("pivot").alias("high"), F.count(F.lit(1)).alias("size")).select("cluster", (F.col("size") == 1).alias("alone"), F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1).alias("group"))
     # Second round: the prefix join between clusters.
     tokens, counts = _frequent(rows, width, frequent)
     reps = members.select("rep", "cluster").join(grouped, "cluster")
     prefixes = _prefixes(rows, width, percent, tokens, counts).join(reps, F.col("doc") == F.col("rep"))
-    wide = prefixes.select(F.explode("tokens").alias("token"), "cluster", F.col("n").alias("low"), F.col("n").alias("high"), "need", "group")
+    place = F.when(F.col("alone"), F.col("at")).otherwise(-1)
+    wide = prefixes.select(F.posexplode("tokens").alias("at", "token"), "cluster", F.col("n").alias("low"), F.col("n").alias("high"), "need", "group", "alone")
+    wide = wide.select("token", "cluster", "low", "high", "need", "group", place.alias("at"))
     counted = _pairs(wide.repartition("token").sortWithinPartitions("token"), percent)
     pairs = written(counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b"), "cluster-pairs")
     kinds = members.groupBy("cluster", "pivot").agg(F.count(F.lit(1)).alias("size"))
