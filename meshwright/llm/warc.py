@@ -13,12 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # RFC 4122's name space of URLs
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript|head)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-BREAK = re.compile(r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>", re.I)
-TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LANG = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([\w-]+)", re.I)
-LINK = re.compile(r"<a\b[^>]*\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Elements whose text is code, and those that are not shown; elements that begin and end a line.
+CODE = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style")}
+UNSEEN = {"template", "noscript", "head"}
+BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "dd", "div", "dl", "dt", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul"}
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+#: What stands between a tag's name and its end: quotes count only behind "=". Possessive, so no text is read twice.
+REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
+ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?""")
 
 
 def digest(data: bytes) -> str:
@@ -53,11 +55,68 @@ def response(page_id: object, url: str | None, body: str | None, date: str) -> b
     return record([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{ident}>"), ("WARC-Date", date), ("WARC-Target-URI", target), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", digest(payload))], http + payload)
 
 
-def plain_text(page: str) -> str:
-    """The text of a page: no markup, scripts or comments; a line for each block, white space folded, character references resolved."""
-    text = TAG.sub("", BREAK.sub("\n", HIDDEN.sub(" ", page)))
-    lines = (" ".join(line.split()) for line in html.unescape(text).split("\n"))
-    return "\n".join(line for line in lines if line)
+def pieces(page: str) -> Iterator[tuple[str, str, str]]:
+    """The page in one pass: ("", "", text), ("start", name, attributes) and ("end", name, ""). Comments, declarations and code are
+    left out; what is not closed goes on to the page's end."""
+    at = 0
+    while (tag := page.find("<", at)) >= 0:
+        yield "", "", page[at:tag]
+        if page.startswith("<!--", tag):
+            end = page.find("-->", tag + 4)
+            at = end + 3 if end >= 0 else len(page)
+        elif found := NAME.match(page, tag):
+            rest = REST.match(page, found.end())
+            if not rest:
+                return
+            name, at = found[2].lower(), rest.end()
+            yield ("end" if found[1] else "start"), name, rest.group()[:-1]
+            if not found[1] and name in CODE:
+                end = CODE[name].search(page, at)
+                at = end.start() if end else len(page)
+        elif page[tag + 1 : tag + 2] in ("!", "?", "/"):
+            end = page.find(">", tag)
+            at = end + 1 if end >= 0 else len(page)
+        else:
+            yield "", "", "<"
+            at = tag + 1
+    yield "", "", page[at:]
+
+
+def read_page(page: str) -> tuple[str, str | None, str | None, list[str]]:
+    """The text of a page (no markup, code, comments or unseen parts; a line for each block, white space folded, character
+    references resolved), its title, its language and its links, in time linear in its length."""
+    text: list[str] = []
+    title: list[str] | None = None
+    unseen = open_title = ""
+    lang, links = None, []
+    for kind, name, value in pieces(page):
+        if not kind:
+            if open_title:
+                title.append(value)
+            if not unseen and not open_title:
+                text.append(value)
+            continue
+        if kind == "start":
+            if name == "title" and title is None:
+                title, open_title = [], name
+            if name in ("a", "html"):
+                own = {}
+                for k, *v in ATTRIBUTE.findall(value):
+                    own.setdefault(k.lower(), html.unescape(next((x for x in v if x), "")))
+                if name == "a" and "href" in own:
+                    links.append(own["href"])
+                if name == "html" and lang is None:
+                    lang = own.get("lang") or None
+            if name in UNSEEN and not unseen:
+                unseen = name
+        if name == open_title and kind == "end":
+            open_title = ""
+        if (unseen and kind == "end" and name == unseen) or (unseen == "head" and name == "body"):
+            unseen = ""
+        if name in BLOCKS and not unseen:
+            text.append("\n")
+    lines = (" ".join(html.unescape(line).split()) for line in "".join(text).split("\n"))
+    return "\n".join(line for line in lines if line), None if title is None else " ".join(html.unescape("".join(title)).split()), lang, links
 
 
 def derive(source: bytes) -> tuple[bytes, bytes]:
@@ -68,14 +127,13 @@ def derive(source: bytes) -> tuple[bytes, bytes]:
     page = payload.decode("utf-8", "replace")
     ident, target, date = (headers[k] for k in ("warc-record-id", "warc-target-uri", "warc-date"))
     common = [("WARC-Date", date), ("WARC-Target-URI", target), ("WARC-Refers-To", ident), ("WARC-Refers-To-Target-URI", target), ("WARC-Refers-To-Date", date)]
-    text = plain_text(page).encode("utf-8", "replace")
+    shown, title, lang, links = read_page(page)
+    text = shown.encode("utf-8", "replace")
     names = {kind: f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind} {ident}')}>" for kind in ("metadata", "conversion")}
-    title = TITLE.search(page)
-    lang = LANG.search(page)
     about = [("http-status", status), *((f"http-{k.strip().lower()}", v.strip()) for k, _, v in (f.partition(":") for f in fields)), ("source-block-digest", headers["warc-block-digest"]), ("source-payload-digest", headers.get("warc-payload-digest", digest(payload))), ("source-content-type", headers["content-type"]), ("source-length", str(len(payload))), ("conversion", names["conversion"]), ("conversion-payload-digest", digest(text))]
-    about += [("title", html.unescape(TAG.sub("", title[1])))] if title else []
-    about += [("lang", lang[1])] if lang else []
-    about += [("outlink", next(x for x in (*m.groups(), "") if x is not None)) for m in LINK.finditer(page)]
+    about += [("title", title)] if title else []
+    about += [("lang", lang)] if lang else []
+    about += [("outlink", x) for x in links]
     fields_block = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in about).encode("utf-8", "replace")
     metadata = record([("WARC-Type", "metadata"), ("WARC-Record-ID", names["metadata"]), *common, ("Content-Type", "application/warc-fields")], fields_block)
     conversion = record([("WARC-Type", "conversion"), ("WARC-Record-ID", names["conversion"]), *common, ("WARC-Source-Payload-Digest", headers.get("warc-payload-digest", digest(payload))), ("WARC-Payload-Digest", digest(text)), ("Content-Type", "text/plain; charset=utf-8")], text)
