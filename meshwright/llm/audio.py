@@ -93,9 +93,12 @@ def _filterbank(o: AudioOptions) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_mel(x: np.ndarray, o: AudioOptions) -> np.ndarray:
-    """Frames x mels: log of the filterbank's energies, in hundredths, as int16 so that equal audio gives equal values."""
-    if len(x) < o.frame:
-        x = np.concatenate([x, np.zeros(o.frame - len(x), np.float32)])
+    """Frames x mels: log of the filterbank's energies, in hundredths, as int16 so that equal audio gives equal values.
+
+    Silence fills the last frame, so that every sample is in one.
+    """
+    missing = o.frame - len(x) if len(x) < o.frame else -(len(x) - o.frame) % o.hop
+    x = np.concatenate([x, np.zeros(missing, np.float32)])
     window, bank = _filterbank(o)
     frames = np.lib.stride_tricks.sliding_window_view(x, o.frame)[:: o.hop]
     out = []
@@ -136,6 +139,20 @@ def features(stored: bytes, o: AudioOptions) -> tuple[bytes, np.ndarray, list[tu
     return samples, mel, segments(mel, o)
 
 
+def tensors(mel: np.ndarray, spans: list[tuple[int, int]], o: AudioOptions) -> tuple[pa.Array, list[float], list[float], list[float]]:
+    """The frames as a fixed-shape tensor array (zeros after the end), with each tensor's start and end in milliseconds and the share of its frames inside segments."""
+    ms = 1000 * o.down / (o.rate * o.up)
+    inside = np.zeros(len(mel), bool)
+    for a, b in spans:
+        inside[a:b] = True
+    starts = range(0, len(mel), o.shape)
+    ends = [min(i + o.shape, len(mel)) for i in starts]
+    block = np.zeros((len(starts) * o.shape, o.mels), np.int16)
+    block[: len(mel)] = mel
+    made = pa.FixedShapeTensorArray.from_numpy_ndarray(block.reshape(len(starts), o.shape, o.mels))
+    return made, [i * o.hop * ms for i in starts], [((e - 1) * o.hop + o.frame) * ms for e in ends], [float(inside[i:e].mean()) for i, e in zip(starts, ends, strict=True)]
+
+
 def audio_tensors(docs: DataFrame, options: AudioOptions | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per row of docs one row for each tensor: key, tensor_no, start_ms, end_ms, voiced (the share of its
     frames inside segments) and tensor, the (shape x mels) log-mel values in hundredths, row by row, zeros after the end.
@@ -146,22 +163,13 @@ def audio_tensors(docs: DataFrame, options: AudioOptions | None = None, text: st
     o = options or AudioOptions()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ms = 1000 * o.down / (o.rate * o.up)
         for part in parts:
             for k, value in zip(part.column(1), part.column(0), strict=True):
-                stored = wav(payload(value.as_py())[1], o.rate)
-                _, mel, spans = features(stored, o)
-                inside = np.zeros(len(mel), bool)
-                for a, b in spans:
-                    inside[a:b] = True
-                starts = range(0, len(mel), o.shape)
-                block = np.zeros((len(starts) * o.shape, o.mels), np.int16)
-                block[: len(mel)] = mel
-                values = pa.array(block.ravel(), pa.int16())
-                offsets = pa.array(np.arange(len(starts) + 1, dtype=np.int32) * (o.shape * o.mels))
-                ends = [min(i + o.shape, len(mel)) for i in starts]
+                _, mel, spans = features(wav(payload(value.as_py())[1], o.rate), o)
+                made, begin, end, voiced = tensors(mel, spans, o)
+                offsets = pa.array(np.arange(len(made) + 1, dtype=np.int32) * (o.shape * o.mels))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k.as_py()] * len(starts), part.column(1).type), pa.array(range(len(starts)), pa.int32()), pa.array([i * o.hop * ms for i in starts]), pa.array([((e - 1) * o.hop + o.frame) * ms for e in ends]), pa.array([float(inside[i:e].mean()) for i, e in zip(starts, ends, strict=True)]), pa.ListArray.from_arrays(offsets, values)],
+                    [pa.array([k.as_py()] * len(made), part.column(1).type), pa.array(range(len(made)), pa.int32()), pa.array(begin), pa.array(end), pa.array(voiced), pa.ListArray.from_arrays(offsets, made.storage.flatten())],
                     names=[key, "tensor_no", "start_ms", "end_ms", "voiced", "tensor"],
                 )
 
@@ -181,8 +189,8 @@ def audio_digests(docs: DataFrame, options: AudioOptions | None = None, block: i
 
     The text's UTF-8 (null: none), filled with 255 up to a positive multiple of block, is stored as
     unsigned 8-bit samples in WAV form; what is returned comes from the samples read back from there.
-    feature: frames, segments, the share of frames in segments, and a digest of all log-mel values and
-    spans. Equal texts have equal values, whatever stands beside them; rows stay separate; an empty
+    feature: frames, tensors, segments, the share of frames in segments, and a digest of the fixed-shape
+    tensors, their time spans and the segments. Equal texts have equal values, whatever stands beside them; rows stay separate; an empty
     table gives an empty result; further columns are left out. One narrow pass.
     """
     o = options or AudioOptions()
@@ -194,9 +202,10 @@ def audio_digests(docs: DataFrame, options: AudioOptions | None = None, block: i
                 n, data = payload(value.as_py(), block)
                 stored = wav(data, o.rate)
                 samples, mel, spans = features(stored, o)
-                digest = sha256(mel.tobytes() + repr(spans).encode()).hexdigest()[:32]
+                made, begin, end, _ = tensors(mel, spans, o)
+                digest = sha256(made.storage.flatten().to_numpy().tobytes() + repr((spans, begin, end)).encode()).hexdigest()[:32]
                 voiced = sum(b - a for a, b in spans) / len(mel)
-                rows.append((n, len(samples), sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(stored), sha256(stored).hexdigest(), f"frames={len(mel)};segments={len(spans)};voiced={voiced:.4f};digest={digest}"))
+                rows.append((n, len(samples), sha256(samples).hexdigest(), zlib.crc32(samples[-32:]), len(stored), sha256(stored).hexdigest(), f"frames={len(mel)};tensors={len(made)};segments={len(spans)};voiced={voiced:.4f};digest={digest}"))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([part.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[key, *NAMES])

@@ -428,3 +428,15 @@ def test_shingles_of_arrow_slices():
     whole = dict(jaccard.shingle_sets(texts, 4))
     assert [len(whole[i]) for i in range(5)] == [2, 0, 0, 1, 2] and whole[0].tolist() == whole[4].tolist()
     assert [s.tolist() for _, s in jaccard.shingle_sets(texts.slice(3), 4)] == [whole[3].tolist(), whole[4].tolist()]
+
+
+def test_every_sample_is_in_a_frame():
+    o = audio.AudioOptions()
+    for n in (9, o.frame - 1, o.frame, o.frame + 1, 5 * o.hop + o.frame + o.hop // 2):
+        silent, loud = np.zeros(n, np.float32), np.zeros(n, np.float32)
+        loud[max(0, n - 4) :] = 1  # the very last samples
+        a, b = audio.log_mel(silent, o), audio.log_mel(loud, o)
+        assert a.shape == b.shape and (len(a) - 1) * o.hop + o.frame >= n
+        assert n == o.frame or (a[-1] != b[-1]).any()
+        made, begin, end, voiced = audio.tensors(a, [], o)
+        assert made.type == pa.fixed_shape_tensor(pa.int16(), (o.shape, o.mels)) and len(made) == len(begin) == len(end) == len(voiced)
