@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..operators.components import shared_dir, written
 
@@ -42,25 +37,15 @@ FILTER_BITS = 1 << 23
 def flagged(rows: DataFrame, ids: DataFrame, key: str, into: str = "_maybe") -> DataFrame:
     """rows with a boolean column: whether the key may be among ids (a table with that column). True for all that are, and for few others.
 
-    A bitmap of fixed size, 1 MB, spares most rows the join that must follow; the more ids, the fewer it spares. Null keys: false.
+    A bitmap of fixed size, 1 MB, which is broadcast, spares most rows the join that must follow; the more ids, the fewer it spares. Null keys: false.
     """
     code = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
     # Spark's bitmap functions number values from 1: value v is bit (v - 1) % 32768 of bucket 1 + (v - 1) div 32768.
     bits = ids.select((code + 1).alias("h")).groupBy(F.bitmap_bucket_number("h").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("bits"))
-    table = np.zeros(FILTER_BITS // 8, np.uint8)
-    for k, found in bits.collect():
-        table[(k - 1) * 4096 : k * 4096] = np.frombuffer(bytes(found), np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(table)
-    width = len(rows.columns)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h = np.asarray(batch.column(width))
-            hit = ((shared.value[h >> 3] >> (h & 7)) & 1 == 1) & (h >= 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(hit)], names=[*batch.schema.names[:width], into])
-
-    schema = StructType([*rows.schema.fields, StructField(into, BooleanType())])
-    return rows.withColumn(free(rows, "code"), F.when(F.col(key).isNotNull(), code).otherwise(F.lit(-1))).mapInArrow(run, schema)
+    at, bucket, found = (free(rows, c) for c in ("at", "bucket", "bits"))
+    known = rows.withColumn(at, F.when(F.col(key).isNotNull(), code)).join(F.broadcast(bits.select(F.col("k").alias(bucket), F.col("bits").alias(found))), F.expr(f"1 + `{at}` div 32768") == F.col(bucket), "left")
+    byte = f"cast(conv(hex(substring(`{found}`, cast(`{at}` % 32768 div 8 as int) + 1, 1)), 16, 10) as int)"
+    return known.select(*(F.col(f"`{c}`") for c in rows.columns), F.expr(f"coalesce(shiftright({byte}, cast(`{at}` % 8 as int)) & 1 = 1, false)").alias(into))
 
 
 def present(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:

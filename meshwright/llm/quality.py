@@ -13,7 +13,7 @@ fold that the model has not seen, beside those of rows labelled bad.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ BITS, OWN = 12, 2048
 SYMBOLS = 1 << BITS
 PAD = ord("\n")
 #: Symbols that are looked at together; longer texts are cut, shorter ones joined.
-PIECE = 1 << 19
+PIECE = 1 << 18
 #: n-grams of a model that is copied to each task, and what one takes there.
 ENTRY = 16
 
@@ -37,7 +37,7 @@ def symbols(text: str) -> np.ndarray:
     return np.where(points < OWN, points, OWN + ((points * 0x9E3779B1 & 0xFFFFFFFF) >> 21))
 
 
-def grams(texts: list[str], order: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def grams(texts: Iterable[str], order: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The n-gram that ends at each symbol of the texts, and the number of its text, in pieces. A text is preceded by order - 1 line ends."""
     held: list[tuple[int, str]] = []
     size = 0
@@ -65,8 +65,9 @@ def grams(texts: list[str], order: int, piece: int = PIECE) -> Iterator[tuple[np
         yield coded()
 
 
-def _texts(column: pa.Array) -> list[str]:
-    return [(x.as_py() or b"").decode("utf-8", "replace") for x in column]
+def _texts(column: pa.Array) -> Iterator[str]:
+    """The texts of a string or binary column, one at a time; null: empty."""
+    return (x.as_buffer().to_pybytes().decode("utf-8", "replace") if x.is_valid else "" for x in column)
 
 
 def _counts(texts: DataFrame, order: int) -> DataFrame:
@@ -143,13 +144,13 @@ def probabilities(codes: np.ndarray, order: int, known: np.ndarray, share: np.nd
     return p
 
 
-def _perplexities(texts: list[str], order: int, known: np.ndarray, share: np.ndarray, back: np.ndarray) -> pa.Array:
+def _perplexities(column: pa.Array, order: int, known: np.ndarray, share: np.ndarray, back: np.ndarray) -> pa.Array:
     """The mean negative log probability of each text's symbols; null for an empty one."""
-    total = np.zeros(len(texts))
-    for codes, rows in grams(texts, order):
+    total, n = np.zeros(len(column)), np.zeros(len(column), np.int64)
+    for codes, rows in grams(_texts(column), order):
         different, where = np.unique(codes, return_inverse=True)
-        total += np.bincount(rows, np.log(probabilities(different, order, known, share, back))[where], len(texts))
-    n = np.array([len(t) for t in texts])
+        total += np.bincount(rows, np.log(probabilities(different, order, known, share, back))[where], len(column))
+        n += np.bincount(rows, minlength=len(column))
     return pa.array(-total / np.maximum(n, 1), pa.float64(), mask=n == 0)
 
 
@@ -159,7 +160,7 @@ def scored(docs: DataFrame, model: DataFrame, order: int = 5, text: str = "text"
     A model of up to most_bytes is copied to the tasks; of a larger one each block of about block_rows documents gets what it asks for.
     """
     docs = docs.drop(into)
-    width, names = len(docs.columns), docs.columns
+    where, names = docs.columns.index(text), docs.columns
     schema = StructType([*docs.schema.fields, StructField(into, DoubleType())])
     spark = docs.sparkSession
     if model.count() * ENTRY <= most_bytes:
@@ -168,9 +169,10 @@ def scored(docs: DataFrame, model: DataFrame, order: int = 5, text: str = "text"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], _perplexities(_texts(batch.column(width)), order, *shared.value)], names=[*names, into])
+                yield pa.RecordBatch.from_arrays([*batch.columns, _perplexities(batch.column(where), order, *shared.value)], names=[*names, into])
+            pa.default_memory_pool().release_unused()
 
-        return docs.withColumn(free(docs, "bytes"), F.col(text).cast("binary")).mapInArrow(run, schema)
+        return docs.mapInArrow(run, schema)
 
     blocks = max(1, -(-docs.count() // block_rows))
     rows = docs.select(F.pmod(F.xxhash64(key, text), F.lit(blocks)).alias("block"), F.struct(*docs.columns).alias("row"), F.col(text).cast("binary").alias("text"))
@@ -206,7 +208,7 @@ def scored(docs: DataFrame, model: DataFrame, order: int = 5, text: str = "text"
                     found = pa.Table.from_batches(held).sort_by("code") if held else None
                     table = tuple(np.asarray(found.column(c)) for c in ("code", "share", "back")) if held else (np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32))
                 row = part.column(2)
-                yield pa.RecordBatch.from_arrays([*row.flatten(), _perplexities(_texts(part.column(3)), order, *table)], names=[*names, into])
+                yield pa.RecordBatch.from_arrays([*row.flatten(), _perplexities(part.column(3), order, *table)], names=[*names, into])
 
     return every.repartition("block").sortWithinPartitions("block", "role").mapInArrow(answered, schema)
 
