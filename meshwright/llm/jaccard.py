@@ -41,7 +41,9 @@ BANDS, ROWS = 6, 2
 #: Documents compared with one pivot from which on it is used as such.
 LEAST_GROUP = 8
 #: The most shared tokens that are asked for of two differences before they are compared.
-MOST_ASKED = 8
+MOST_ASKED = 4
+#: Rows of one pivot that one task may take together, so that a pair is counted once; more are dealt by token.
+TOGETHER = 1 << 18
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -367,8 +369,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, frequ
     pairs = pairs.filter(fits).select(F.when(swap, F.col("b_doc")).otherwise(F.col("a_doc")).alias("a"), F.when(swap, F.col("a_doc")).otherwise(F.col("b_doc")).alias("b"))
     # Third round: documents of one pivot, by their differences from it.
     own = pivots.join(members.drop("pivot"), F.col("doc") == F.col("rep")).select(F.posexplode("differs").alias("at", "t"), "pivot", "doc", F.col("n").alias("size"), F.col("cluster").alias("group"), F.col("total").alias("n"), "need", "fresh")
-    own = own.withColumn("token", F.xxhash64("pivot", "t")).drop("t", "pivot")
-    met = _closer(own.repartition("token").sortWithinPartitions("token"), percent)
+    rows_of = pivots.groupBy("pivot").agg(F.sum(F.size("differs")).alias("rows"))
+    own = own.withColumn("token", F.xxhash64("pivot", "t")).join(rows_of, "pivot")
+    own = own.withColumn("part", F.when(F.col("rows") <= TOGETHER, F.xxhash64("pivot")).otherwise(F.col("token"))).drop("t", "pivot", "rows")
+    met = _closer(own.repartition("part").sortWithinPartitions("token").drop("part"), percent)
     closer = met.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
     more = _compared(rows, pairs.unionByName(closer).distinct(), width, percent)
     linked = components(near.filter("linked").select("a", "b").unionByName(more.select("a", "b")))
