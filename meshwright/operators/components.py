@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import InvalidOption
 from ..functions.kernel import smallest_members
 
 #: Edges (16 bytes each) up to which one task finishes.
@@ -17,11 +18,14 @@ FEW = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; sets one only where the cluster names none (tests)."""
+    """The cluster's shared folder; sets one only in local mode (tests), where there are no other machines, and fails elsewhere."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise InvalidOption(option="spark.checkpoint.dir", reason="name a folder that all executors share")
+
         spark.conf.set("spark.checkpoint.dir", found := "file://" + tempfile.mkdtemp(prefix="meshwright-"))
     return found
 
@@ -30,7 +34,16 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, is computed once, survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what `written` wrote for df, once nothing reads it any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _finished(edges: DataFrame) -> DataFrame:

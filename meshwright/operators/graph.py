@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sums import compensated
+from .components import written
 
 
 def _refuse(bad: Column, what: str, *shown: str) -> Column:
@@ -143,11 +144,15 @@ def low_degree_cuts(edges: DataFrame, heavy: DataFrame, parents: DataFrame, thre
 
 
 def dense_ids(rows: DataFrame, column: str = "id") -> DataFrame:
-    """(column, index): indices 0, 1, ... by value, without a global window: counts of range partitions, then offsets."""
-    ids = rows.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column).select(column, F.spark_partition_id().alias("_p"))
+    """(column, index): indices 0, 1, ... by value, without a global window: counts of range partitions, then offsets.
+
+    Rows are written with their partition and place once, so both readers see the same ones whatever is run again.
+    """
+    ids = rows.select(column).distinct().repartitionByRange(column).sortWithinPartitions(column).select(column, F.monotonically_increasing_id().alias("_k"))
+    ids = written(ids, "numbered").select(column, F.shiftright("_k", 33).alias("_p"), F.col("_k").bitwiseAND(F.lit((1 << 33) - 1)).alias("_k"))
     counts = ids.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_o"))
-    return ids.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1).join(offsets, "_p").select(column, (F.col("_o") + F.col("_k")).cast("long").alias("index"))
+    return ids.join(F.broadcast(offsets), "_p").select(column, (F.col("_o") + F.col("_k")).cast("long").alias("index"))
 
 
 def prune_isolates(labels: DataFrame, coarse_edges: DataFrame) -> DataFrame:

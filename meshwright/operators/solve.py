@@ -11,17 +11,23 @@ from ..errors import IncompatibleRhs, MaximumIterations, MemoryBudgetExceeded, P
 from ..functions.kernel import Hierarchy, LocalGraph, pcg
 from ..options import EngineOptions, HierarchyOptions, PcgOptions
 from . import graph as G
-from .components import components, written
+from .components import components, forget, written
 
 REPORT = "rhs_id long, iterations int, relative_residual double, backward_error double, restarts int, initial_residual double, projection double"
 
 
+def fits(edges: int, vertices: int, engine: EngineOptions | None = None) -> bool:
+    """Whether a graph may go to one task whole: by its edges, and by its vertices, which may be isolated."""
+    most = (engine or EngineOptions()).local_edges
+    return edges <= most and vertices <= 2 * most
+
+
 def local_graph(edges: DataFrame, engine: EngineOptions | None = None, ids: DataFrame | None = None) -> tuple[LocalGraph, np.ndarray]:
     """The graph in this process, after a check of its size, and the ids of its vertices 0, 1, ...; ids adds isolated ones."""
     engine = engine or EngineOptions()
-    n = edges.count()
-    if n > engine.local_edges:
-        raise MemoryBudgetExceeded(needed=n * 24, budget=engine.local_edges * 24)
+    n, m = edges.count(), ids.count() if ids is not None else 0
+    if not fits(n, m, engine):
+        raise MemoryBudgetExceeded(needed=n * 24 + m * 8, budget=engine.local_edges * 24)
     t = edges.select("u", "v", "w").toArrow()
     u, v, w = (np.asarray(t.column(c)) for c in "uvw")
     more = [np.asarray(ids.select("id").toArrow().column(0))] if ids is not None else []
@@ -58,10 +64,24 @@ def solutions(solved: DataFrame) -> DataFrame:
     return solved.select("rhs_id", F.inline("solution"))
 
 
+def solve_all(edges: DataFrame, rhs: DataFrame, options: PcgOptions | None = None, hierarchy: HierarchyOptions | None = None, engine: EngineOptions | None = None) -> DataFrame:
+    """(rhs_id, id, val): solve_batch where the graph fits a task, else solve_distributed for one right-hand side after another."""
+    ids = rhs.select("id").union(edges.select("u")).union(edges.select("v")).distinct()
+    if fits(edges.count(), ids.count(), engine):
+        return solutions(solve_batch(edges, rhs, options, hierarchy, engine))
+    out = None
+    for (r,) in rhs.select("rhs_id").distinct().orderBy("rhs_id").collect():
+        b = ids.join(rhs.filter(F.col("rhs_id") == r).select("id", "val"), "id", "left").select("id", F.coalesce("val", F.lit(0.0)).alias("val"))
+        x = solve_distributed(edges, b, options)[0].select(F.lit(r).alias("rhs_id"), "id", "val")
+        out = x if out is None else out.unionByName(x)
+    return out if out is not None else rhs.limit(0).select("rhs_id", "id", "val")
+
+
 def solve_distributed(edges: DataFrame, b: DataFrame, options: PcgOptions | None = None) -> tuple[DataFrame, dict]:
     """Conjugate gradients with a diagonal preconditioner where every vector is a DataFrame: for graphs beyond one task.
 
-    One pass of edges an iteration; vectors are written to the shared folder, so lost executors cost no restart.
+    One pass of edges an iteration; vectors are written to the shared folder, so lost executors cost no restart, and
+    deleted when the next ones are there.
     """
     o = options or PcgOptions()
     comps = components(edges, "u", "v")
@@ -74,9 +94,12 @@ def solve_distributed(edges: DataFrame, b: DataFrame, options: PcgOptions | None
     rho = state.agg(F.sum(F.col("r") * F.col("r") * F.col("d"))).first()[0] or 0.0
     if size == 0:
         return state.select("id", F.col("x").alias("val")), {"iterations": 0, "residual": 0.0}
+    held = state
     for k in range(1, o.max_iterations + 1):
         q = G.matvec(edges, state.select("id", F.col("p").alias("val"))).withColumnRenamed("val", "q")
         state = written(state.join(q, "id"), "state")
+        forget(held)
+        held = state
         curvature = state.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
         if not curvature > 0:
             raise PcgBreakdown(quantity="p'Ap", value=curvature, iteration=k)
@@ -87,6 +110,8 @@ def solve_distributed(edges: DataFrame, b: DataFrame, options: PcgOptions | None
         if np.sqrt(rr) <= target or k % o.recompute == 0:
             y = G.matvec(edges, moved.select("id", F.col("x").alias("val"))).withColumnRenamed("val", "y")
             moved = written(moved.join(y, "id").select("id", "x", (F.col("b") - F.col("y")).alias("r"), "p", "d", "b"), "state")
+            forget(held)
+            held = moved
             fresh, rr = moved.agg(F.sum(F.col("r") ** 2 * F.col("d")), F.sum(F.col("r") ** 2)).first()
             if np.sqrt(rr) <= target:
                 x = G.center(moved.select("id", F.col("x").alias("val")), labels)

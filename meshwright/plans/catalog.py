@@ -327,7 +327,7 @@ def pruned_hierarchy(spark, sf_dir):
     return solve.hierarchy_tables(spark, solve.Hierarchy.build(g, HierarchyOptions(prune=True)))[0]
 
 
-# Generated families. n follows the table's size.
+# Generated families: they read no table, and n is fixed.
 GRID = "g AS (SELECT i, CAST(ceil(sqrt(2000)) AS BIGINT) AS k FROM range(2000) r(i))"
 WEIGHT = "0.5 + ((({s}) % 1024) * 1103515245 + 12345) % 1024 / 512.0"
 
@@ -432,23 +432,12 @@ def adversarial(spark, sf_dir):
     return solve.solutions(solve.solve_batch(gen.complete(spark, 50), b, TIGHT)).select("id", F.round("val", 6).alias("val"))
 
 
-@query("WITH x AS (SELECT i AS id, CAST((17 * i) % 257 - 128 AS DOUBLE) AS val FROM range(200) r(i)), c AS (SELECT id, val - avg(val) OVER () AS val FROM x) SELECT id, round(val, 5) AS val FROM c")
+@query(f"WITH {X} SELECT id, round(val - avg(val) OVER (), 5) AS val FROM x")
 def solve_distributed(spark, sf_dir):
-    """Conjugate gradients where every vector stays a DataFrame."""
-    e = gen.complete(spark, 200).withColumn("w", F.lit(1.0) + (F.col("u") + F.col("v")) % 3)
-    x = vector(spark.range(200))
-    x = x.crossJoin(F.broadcast(x.agg(F.avg("val").alias("m")))).select("id", (F.col("val") - F.col("m")).alias("val"))
-    return solve.solve_distributed(e, G.matvec(e, x), PcgOptions(relative=1e-12))[0].select("id", F.round("val", 5).alias("val"))
-
-
-@query("SELECT id, round(val, 5) AS val FROM (SELECT i AS id, CAST((17 * i) % 257 - 128 AS DOUBLE) AS val FROM range(64) r(i))")
-def sddm_solve(spark, sf_dir):
-    """A path matrix with more than its off-diagonals on the diagonal, through one more vertex."""
-    diag = spark.range(64).select(F.col("id").alias("i"), F.when(F.col("id").isin(0, 63), 1.25).otherwise(2.25).alias("d"))
-    off = spark.range(63).select(F.col("id").alias("i"), (F.col("id") + 1).alias("j"), F.lit(-1.0).alias("a"))
-    b = sddm.lift(sddm.matvec(diag, off, vector(spark.range(64))), 64).select(F.lit(0).alias("rhs_id"), "id", "val")
-    x = solve.solutions(solve.solve_batch(sddm.augment(diag, off, 64), b, TIGHT, HierarchyOptions(direct_threshold=2)))
-    return sddm.extract(x.select("id", "val"), 64).select("id", F.round("val", 5).alias("val"))
+    """Conjugate gradients where every vector stays a DataFrame, on the whole table's graph, which is connected."""
+    e = written(edges(spark, sf_dir), "edges")
+    b = written(G.matvec(e, vector(vertices(e))), "rhs")
+    return solve.solve_distributed(e, b, PcgOptions(relative=1e-12))[0].select("id", F.round("val", 5).alias("val"))
 
 
 SD = f"{D}, diag AS (SELECT id AS i, degree + id % 3 AS d FROM d), x AS (SELECT id, CAST((17 * id) % 257 - 128 AS DOUBLE) AS val FROM d)"
@@ -459,10 +448,23 @@ def matrix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return G.degrees(e).select(F.col("id").alias("i"), (F.col("degree") + F.col("id") % 3).alias("d")), e.select(F.col("u").alias("i"), F.col("v").alias("j"), (-F.col("w")).alias("a"))
 
 
+@query(f"WITH {SD} SELECT id, round(val, 5) AS val FROM x")
+def sddm_solve(spark, sf_dir):
+    """The whole table's matrix, with more than its off-diagonals on the diagonal, through one more vertex."""
+    diag, off = matrix(spark, sf_dir)
+    top = 2 * ORDERS_FROM
+    x = vector(diag.select(F.col("i").alias("id")))
+    b = sddm.lift(sddm.matvec(diag, off, x), top).select(F.lit(0).alias("rhs_id"), "id", "val")
+    found = solve.solve_all(written(sddm.augment(diag, off, top), "edges"), written(b, "rhs"), TIGHT)
+    return sddm.extract(found.select("id", "val"), top).select("id", F.round("val", 5).alias("val"))
+
+
 @query(f"WITH {SD} SELECT i, d, degree AS held, d - degree AS excess FROM diag JOIN d ON d.id = diag.i")
 def sddm_canonical(spark, sf_dir):
     diag, off = matrix(spark, sf_dir)
-    return sddm.excess(*sddm.canonical(diag, off.unionByName(off.limit(0))))
+    half = off.withColumn("a", F.col("a") / 2)
+    mirrored = half.select(F.col("j").alias("i"), F.col("i").alias("j"), "a")
+    return sddm.excess(*sddm.canonical(diag, half.unionByName(mirrored).unionByName(off.withColumn("a", F.lit(0.0)))))
 
 
 @query(f"WITH {SD} SELECT u, v, w FROM e UNION ALL SELECT i, {2 * ORDERS_FROM}, d - degree FROM diag JOIN d ON d.id = diag.i WHERE d > degree")
@@ -759,21 +761,33 @@ def ldl_solve(spark, sf_dir):
     return solve.solutions(solve.solve_batch(e, b, TIGHT)).select("id", F.round("val", 6).alias("val"))
 
 
-@query("WITH x AS (SELECT i AS id, i // 2 AS label, CAST(CASE WHEN i % 2 = 0 THEN 3 ELSE -1 END * (i - 3) AS DOUBLE) AS b FROM range(4) r(i)) SELECT CAST(id AS BIGINT) AS id, round(b, 6) AS b FROM (SELECT id, b - avg(b) OVER () AS b FROM x)")
+#: One cycle on a path of four, worked out by hand: half-damped sweeps around a coarse edge of weight 1 that joins 0, 1 to 2, 3.
+CYCLE = """WITH e AS (SELECT * FROM (VALUES (0, 1, 4.0), (1, 2, 1.0), (2, 3, 4.0)) t(u, v, w)), n AS (SELECT u AS id, v AS nbr, w FROM e UNION ALL SELECT v, u, w FROM e),
+g AS (SELECT id, sum(w) AS d FROM n GROUP BY id), y AS (SELECT r, i AS id, CAST((17 * i * i + 31 * r) % 257 - 128 AS DOUBLE) AS b FROM range(4) a(i), range({n}) z(r)),
+s0 AS (SELECT r, id, b - avg(b) OVER (PARTITION BY r) AS b, d FROM y JOIN g USING (id)), s1 AS (SELECT *, b / 2 / d AS x FROM s0),
+l1 AS (SELECT n.id, r, sum(w * x) AS s FROM n JOIN s1 ON s1.id = n.nbr GROUP BY 1, 2),
+s2 AS (SELECT s1.*, sum(b - d * x + s) OVER (PARTITION BY r, s1.id // 2) / 2 AS up FROM s1 JOIN l1 USING (id, r)), s3 AS (SELECT r, id, b, d, x + up AS x FROM s2),
+l3 AS (SELECT n.id, r, sum(w * x) AS s FROM n JOIN s3 ON s3.id = n.nbr GROUP BY 1, 2), s4 AS (SELECT r, s3.id, x + (b - d * x + s) / 2 / d AS x FROM s3 JOIN l3 USING (id, r))
+SELECT {first}CAST(id AS BIGINT) AS id, round(x - avg(x) OVER (PARTITION BY r), 6) AS val FROM s4"""
+
+
+def four(spark: SparkSession) -> DataFrame:
+    return gen.path(spark, 4).withColumn("w", F.when(F.col("u") == 1, 1.0).otherwise(4.0))
+
+
+@query(CYCLE.format(n=1, first=""))
 def two_grid(spark, sf_dir):
-    """Two levels with labels id / 2 on a path of four: what one cycle leaves of a right-hand side, summed with what it removes."""
-    e = gen.path(spark, 4).withColumn("w", F.lit(1.0))
-    b = spark.range(4).select("id", (F.when(F.col("id") % 2 == 0, 3.0).otherwise(-1.0) * (F.col("id") - 3)).alias("val"))
+    """One cycle of two levels with labels id / 2, every step a DataFrame; the coarse graph is contracted and has one edge."""
+    e = four(spark)
     one = spark.range(4).select("id", F.lit(0).cast("long").alias("component"))
-    b = G.center(b, one)
+    b = G.center(spark.range(4).select("id", ((17 * F.col("id") * F.col("id")) % 257 - 128).cast("double").alias("val")), one)
     labels = spark.range(4).select("id", F.floor(F.col("id") / 2).alias("label"))
     x = G.jacobi(e, b)
     r = b.join(G.matvec(e, x).withColumnRenamed("val", "y"), "id").select("id", (F.col("val") - F.col("y")).alias("val"))
-    coarse = G.restrict(r, labels)
-    solved = coarse.select("id", (F.col("val") / 2).alias("val"))  # two vertices joined by weight 1: half the value at each
-    x = G.jacobi(e, b, G.prolong(solved, labels, x))
-    left = b.withColumnRenamed("val", "b").join(G.matvec(e, x).withColumnRenamed("val", "y"), "id")
-    return left.select("id", F.round((F.col("b") - F.col("y")) + F.col("y"), 6).alias("b"))
+    weight = G.contract(e, labels).agg(F.first("w").alias("w"))
+    solved = G.restrict(r, labels).crossJoin(F.broadcast(weight)).select("id", (F.col("val") / 2 / F.col("w")).alias("val"))
+    x = G.center(G.jacobi(e, b, G.prolong(solved, labels, x)), one)
+    return x.select("id", F.round("val", 6).alias("val"))
 
 
 @query(f"WITH {RAW} SELECT count(*) AS n, count(DISTINCT u) AS left_side, count(DISTINCT v) AS right_side FROM raw WHERE u >= 0")
@@ -796,19 +810,20 @@ def batch_policy(spark, sf_dir):
 
 
 def applied(spark: SparkSession, count: int) -> DataFrame:
-    """The preconditioner of a complete graph, solved directly, on several right-hand sides at once."""
+    """One cycle of the preconditioner, two levels, on several right-hand sides at once."""
     import numpy as np
 
     from ..functions.kernel import centered
 
-    g, _ = solve.local_graph(gen.complete(spark, 20))
-    h = solve.Hierarchy.build(g)
-    b = ((17 * np.arange(20)[:, None] + 31 * np.arange(count)) % 257 - 128).astype(float)
+    g, _ = solve.local_graph(four(spark))
+    h = solve.Hierarchy.build(g, HierarchyOptions(direct_threshold=3))
+    assert [x.graph.n for x in h.levels] == [4, 2]
+    b = ((17 * np.arange(4)[:, None] ** 2 + 31 * np.arange(count)) % 257 - 128).astype(float)
     x = centered(h.apply(centered(b, h.levels[0].root)), h.levels[0].root)
-    return spark.createDataFrame([(r, i, round(float(x[i, r]), 6)) for r in range(count) for i in range(20)], "rhs_id int, id long, val double")
+    return spark.createDataFrame([(r, i, round(float(x[i, r]), 6)) for r in range(count) for i in range(4)], "rhs_id int, id long, val double")
 
 
-APPLIED = "SELECT CAST(r AS INT) AS rhs_id, i AS id, round((x - avg(x) OVER (PARTITION BY r)) / 20, 6) AS val FROM (SELECT i, r, CAST((17 * i + 31 * r) % 257 - 128 AS DOUBLE) AS x FROM range(20) a(i), range({n}) b(r))"
+APPLIED = CYCLE.replace("{first}", "CAST(r AS INT) AS rhs_id, ")
 
 
 @query(APPLIED.format(n=1))

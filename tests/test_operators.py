@@ -95,6 +95,9 @@ def test_local_and_distributed_solves_agree(spark):
     assert max(abs(local[i] - v) for i, v in rows(far, "id")) < 1e-9
     with pytest.raises(Exception, match="bytes"):
         solve.local_graph(e, EngineOptions(local_edges=3))
+    two = b.withColumn("rhs_id", F.lit(0)).unionByName(b.select("id", (-F.col("val")).alias("val"), F.lit(1).alias("rhs_id")))
+    both = solve.solve_all(e, two, PcgOptions(relative=1e-12), engine=EngineOptions(local_edges=3))
+    assert max(abs((1 - 2 * r["rhs_id"]) * r["val"] - local[r["id"]]) for r in both.collect()) < 1e-9
 
 
 def dense_residual(p, columns):
@@ -127,6 +130,17 @@ def test_demeaning_matches_least_squares(spark, schur, swap):
     assert (report.first()["eliminated"] > 0) == schur
 
 
+def test_demeaning_beyond_one_task_gives_the_same(spark):
+    data = [(i, i % 23, (i * i + i // 23) % 9, 1.0 + i % 4, float((i * 37) % 101), 2.0) for i in range(160)]
+    p = spark.createDataFrame(data + [(160, 90, 90, 1.0, 5.0, 2.0)], "obs long, a long, b long, w double, y double, two double")
+    near, _ = panel.demean(p, ["y", "two"], 1e-9)
+    far, report = panel.demean(p, ["y", "two"], 1e-9, engine=EngineOptions(local_edges=2))
+    got, want = (x.orderBy("obs").select("y_resid", "two_resid").toPandas().to_numpy() for x in (far, near))
+    assert np.abs(got - want).max() < 1e-7
+    assert panel.certificate(far, "y", "y_resid").first()[0] < 1e-8
+    assert report.filter("column = 'y'").first()["iterations"] > 0
+
+
 def test_panel_errors(spark):
     for bad in ((0, 1, 1, 0.0, 1.0), (0, None, 1, 1.0, 1.0), (0, 1, 1, 1.0, float("inf"))):
         p = spark.createDataFrame([bad, (1, 1, 2, 1.0, 2.0)], "obs long, a long, b long, w double, y double")
