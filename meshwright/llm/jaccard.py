@@ -9,7 +9,8 @@ Equal sets are one class. A first verified round links each document to a typica
 min-hash buckets, its pivot, which joins large groups of copies by a linear number of comparisons. The
 prefix join then runs between the clusters found: what is counted for a pair of clusters is no less than
 for any pair of their documents, so no link between different clusters is lost, and pairs inside one are
-never listed. Where a cluster is one document, a shared token counts only if it lies in the prefix that the
+never listed. Frequent tokens are dealt to tasks by the smallest document that holds them, so that near copies
+meet in one task, which leaves out a pair that the tokens it has not seen cannot bring to its count. Where a cluster is one document, a shared token counts only if it lies in the prefix that the
 two sizes ask for: of n and m shingles a link shares o >= t (n + m) / (1 + t), more than t n, and the first
 n - o + l and m - o + l have l in common.
 
@@ -44,6 +45,8 @@ LEAST_GROUP = 8
 MOST_ASKED = 4
 #: Rows of one pivot that one task may take together, so that a pair is counted once; more are dealt by token.
 TOGETHER = 1 << 18
+#: Documents that hold a token from which on it is dealt with others, and how many rows (of 72 bytes: 64 MB) such a part may have.
+DEALT, MOST_DEALT = 16, (64 << 20) // 72
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -81,39 +84,55 @@ def _profiles(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc long, n long, x long, y long, bands array<long>")
 
 
-def _frequent(rows: DataFrame, width: int, most: int, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles (sorted) that most documents hold, and about how many: at most `most`, whatever the input's size.
+def _frequent(rows: DataFrame, width: int, most: int, least: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles (sorted) that most documents hold, about how many, and the smallest of these: at most `most`, whatever the input's size.
 
-    Counts come from all documents, but a task reports only its own most frequent ones; they set the order and
-    the costs, on which no link depends.
+    Counts come from all documents, but a task reports only its own most frequent ones; they set the order, the
+    costs and which tokens are dealt together, on which no link depends.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, counts, fresh, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        held, counts, lowest, fresh, docs, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], [], 0
 
         def add() -> None:
-            nonlocal held, counts, fresh, size
+            nonlocal held, counts, lowest, fresh, docs, size
             values, where = np.unique(np.concatenate([held, *fresh]), return_inverse=True)
             n = np.bincount(where, np.concatenate([counts, np.ones(len(where) - len(held), np.int64)])).astype(np.int64)
-            held, counts, fresh, size = values, n, [], 0
+            low = np.full(len(values), np.iinfo(np.int64).max)
+            np.minimum.at(low, where, np.concatenate([lowest, np.repeat(np.array(docs, np.int64), [len(s) for s in fresh])]))
+            held, counts, lowest, fresh, docs, size = values, n, low, [], [], 0
 
         for batch in batches:
-            for _, s in shingle_sets(batch.column(1), width):
+            names = batch.column(0).to_pylist()
+            for k, s in shingle_sets(batch.column(1), width):
+                if names[k] is None:
+                    continue
                 fresh.append(s)
+                docs.append(names[k])
                 size += len(s)
                 if size > 600_000:
                     add()
                     keep = counts > 1 if len(held) > 600_000 else slice(None)
-                    held, counts = held[keep], counts[keep]
+                    held, counts, lowest = held[keep], counts[keep], lowest[keep]
         add()
         top = np.flatnonzero(counts >= least)
         top = top[np.argsort(-counts[top], kind="stable")[:most // 8]]
-        yield pa.RecordBatch.from_arrays([_signed(held[top]), pa.array(counts[top])], names=["token", "n"])
+        yield pa.RecordBatch.from_arrays([_signed(held[top]), pa.array(counts[top]), pa.array(lowest[top])], names=["token", "n", "low"])
 
-    top = rows.mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(most).toArrow()
-    token, n = np.asarray(top.column("token")).view(np.uint64), np.asarray(top.column("n"))
+    top = rows.mapInArrow(run, "token long, n long, low long").groupBy("token").agg(F.sum("n").alias("n"), F.min("low").alias("low")).orderBy(F.desc("n"), "token").limit(most).toArrow()
+    token, n, low = np.asarray(top.column("token")).view(np.uint64), np.asarray(top.column("n")), np.asarray(top.column("low"))
     order = np.argsort(token)
-    return token[order], n[order]
+    return token[order], n[order], low[order]
+
+
+def dealt(tokens: np.ndarray, counts: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """By which number a frequent token is dealt to tasks: one of its smallest holder, whose tokens make as many parts as their rows ask for,
+    or the token itself where few documents hold it."""
+    holder, at = np.unique(low, return_inverse=True)
+    many = counts >= DEALT
+    parts = 1 + np.bincount(at, np.where(many, counts, 0), len(holder)).astype(np.int64) // MOST_DEALT
+    part = mixed(tokens) % parts[at].astype(np.uint64)
+    return np.where(many, mixed(mixed(low.astype(np.uint64)) + part), tokens)
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
@@ -132,12 +151,12 @@ def prefix(s: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int
     return s[order[: n - needed + need]], need
 
 
-def _prefixes(rows: DataFrame, width: int, percent: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(doc, n, need, tokens)."""
-    shared = rows.sparkSession.sparkContext.broadcast((frequent, counts))
+def _prefixes(rows: DataFrame, width: int, percent: int, frequent: np.ndarray, counts: np.ndarray, deal: np.ndarray) -> DataFrame:
+    """(doc, n, need, tokens, deals): deals has the number by which each token is dealt."""
+    shared = rows.sparkSession.sparkContext.broadcast((frequent, counts, deal))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, counts = shared.value
+        frequent, counts, deal = shared.value
         for batch in batches:
             at, n, need, tokens = [], [], [], []
             for k, s in shingle_sets(batch.column(1), width):
@@ -149,53 +168,71 @@ def _prefixes(rows: DataFrame, width: int, percent: int, frequent: np.ndarray, c
                     tokens.append(first)
             edges = np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int32)
             values = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(need, pa.int32()), pa.ListArray.from_arrays(pa.array(edges), _signed(values))], names=["doc", "n", "need", "tokens"])
+            parts = values
+            if len(frequent):
+                place = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
+                parts = np.where(frequent[place] == values, deal[place], values)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(need, pa.int32()), *(pa.ListArray.from_arrays(pa.array(edges), _signed(x)) for x in (values, parts))], names=["doc", "n", "need", "tokens", "deals"])
 
-    return rows.mapInArrow(run, "doc long, n int, need int, tokens array<long>")
+    return rows.mapInArrow(run, "doc long, n int, need int, tokens array<long>, deals array<long>")
 
 
 def _pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """From (token, cluster, low, high, need, group, at), one token's rows together: (a, b, shared, need) for clusters a < b of a token whose
-    sizes allow a link and that are not of one group (-1: of none). at: the token's place in a cluster's only document; -1: it has more."""
-    names = ["token", "cluster", "low", "high", "need", "group", "at"]
-
-    def collapsed(table: pa.Table) -> tuple[np.ndarray, ...]:
-        """A row for each token and cluster, by token and low: token, cluster, low, high, need, group, at."""
-        token, cluster, n, high, need, group, place = (np.asarray(table.column(c)) for c in names)
+    """From (part, token, cluster, low, high, need, group, at, length), one part's rows together: (a, b, shared, need) for clusters a < b of a token
+    whose sizes allow a link and that are not of one group (-1: of none). at: the token's place in the prefix of a cluster's only document, and
+    length: how many tokens that has; -1: it has more documents. A part with another number than its token's has all rows of all its tokens."""
+    names = ["part", "token", "cluster", "low", "high", "need", "group", "at", "length"]
+
+    def collapsed(table: pa.Table) -> list[np.ndarray]:
+        """A row for each token and cluster, by part, token and low."""
+        part, token, cluster, low, high, need, *rest = (np.asarray(table.column(c)).astype(np.int64) for c in names)
         order = np.lexsort((cluster, token))
         token, cluster = token[order], cluster[order]
         starts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (cluster[1:] != cluster[:-1])))
-        low, high, need = np.minimum.reduceat(n[order], starts), np.maximum.reduceat(high[order], starts), np.minimum.reduceat(need[order], starts)
-        token, cluster, group, place = token[starts], cluster[starts], group[order][starts], place[order][starts]
-        order = np.lexsort((low, token))
-        return token[order], cluster[order], low[order], high[order], need[order], group[order], place[order]
+        first = lambda x: x[order][starts]
+        out = [first(part), token[starts], cluster[starts], np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts), np.minimum.reduceat(need[order], starts), *map(first, rest)]
+        order = np.lexsort((out[3], out[1], out[0]))
+        return [x[order] for x in out]
+
+    def met(found: Found, token, cluster, low, high, need, group, place) -> Iterator[pa.RecordBatch]:
+        for i, step in steps(token, lambda i, step: 100 * high[i] >= percent * low[i + step]):
+            i = i[(group[i] != group[i + step]) | (group[i] < 0)]
+            j = i + step
+            asked = np.minimum(need[i], need[j])
+            longest = asked + (percent * (low[i] + low[j])) // -(100 + percent)  # less what a link shares at least
+            on = ((place[i] < 0) | (place[i] < low[i] + longest)) & ((place[j] < 0) | (place[j] < low[j] + longest))
+            yield from found.add(cluster[i[on]], cluster[j[on]], asked[on])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Found()
         smaller = lambda tables: [pa.RecordBatch.from_arrays([pa.array(c) for c in collapsed(pa.Table.from_batches(tables))], names=names)]
-        for tables in by_token(batches, smaller):
-            token, cluster, low, high, need, group, place = (x.astype(np.int64) for x in collapsed(pa.Table.from_batches(tables)))
-            for i, step in steps(token, lambda i, step: 100 * high[i] >= percent * low[i + step]):  # noqa: B023
-                i = i[(group[i] != group[i + step]) | (group[i] < 0)]
-                j = i + step
-                asked = np.minimum(need[i], need[j])
-                longest = asked + (percent * (low[i] + low[j])) // -(100 + percent)  # less what a link shares at least
-                on = ((place[i] < 0) | (place[i] < low[i] + longest)) & ((place[j] < 0) | (place[j] < low[j] + longest))
-                yield from found.add(cluster[i[on]], cluster[j[on]], asked[on])
+        for tables in by_token(batches, smaller, "part"):
+            part, *columns, length = collapsed(pa.Table.from_batches(tables))
+            alone = part == columns[0]
+            yield from met(found, *(x[alone] for x in columns))
+            edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            for u, v in zip(edges.tolist(), np.append(edges[1:], len(part)).tolist(), strict=True):
+                if alone[u]:
+                    continue
+                cluster, first, seen = np.unique(columns[1][u:v], return_index=True, return_counts=True)
+                unseen = np.where(length[u:v][first] < 0, -1, length[u:v][first] - seen)
+                near = Found(left=(cluster, unseen))
+                yield from met(near, *(x[u:v] for x in columns))
+                yield near.flush()
         yield found.flush()
 
     return postings.mapInArrow(run, "a long, b long, shared long, need long")
 
 
-def by_token(batches: Iterator[pa.RecordBatch], smaller=None) -> Iterator[list[pa.RecordBatch]]:
+def by_token(batches: Iterator[pa.RecordBatch], smaller=None, key: str = "token") -> Iterator[list[pa.RecordBatch]]:
     """Batches sorted by token, cut so that each list has all rows of its tokens. smaller: what to do with a list that one token makes long."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.asarray(batch.column("token"))
+        keys = np.asarray(batch.column(key))
         cut = int(np.flatnonzero(keys == keys[-1])[0])
-        if cut or (held and np.asarray(held[-1].column("token"))[-1] != keys[-1]):
+        if cut or (held and np.asarray(held[-1].column(key))[-1] != keys[-1]):
             yield [*held, batch.slice(0, cut)]
             held = [batch.slice(cut)]
         else:
@@ -219,25 +256,39 @@ def steps(token: np.ndarray, fits) -> Iterator[tuple[np.ndarray, int]]:
 
 
 class Found:
-    """Pairs, counted as they come."""
+    """Pairs, counted as they come. left: of each cluster (sorted) how many tokens are not among those counted here, or -1; with it, pairs go
+    that these cannot bring to their count."""
 
-    def __init__(self, most: int = 500_000) -> None:
+    def __init__(self, most: int = 500_000, left: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.parts: list[np.ndarray] = []
-        self.size, self.most = 0, most
+        self.size, self.most, self.left, self.whole = 0, most, left, True
 
     def add(self, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> Iterator[pa.RecordBatch]:
-        self.parts.append(np.column_stack([np.minimum(a, b), np.maximum(a, b), need]))
+        self.parts.append(np.column_stack([np.minimum(a, b), np.maximum(a, b), need, np.ones(len(a), np.int64)]))
         self.size += len(a)
         if self.size > self.most:
-            yield self.flush()
+            self.parts = [self.counted()]
+            self.size = len(self.parts[0])
+            if 2 * self.size > self.most:
+                self.whole = False
+                yield self.flush()
+
+    def counted(self) -> np.ndarray:
+        p = np.concatenate(self.parts) if self.parts else np.zeros((0, 4), np.int64)
+        p = p[np.lexsort((p[:, 1], p[:, 0]))]
+        if not len(p):
+            return p
+        starts = np.flatnonzero(np.append(True, (p[1:, :2] != p[:-1, :2]).any(axis=1)))
+        return np.column_stack([p[starts, :2], np.minimum.reduceat(p[:, 2], starts), np.add.reduceat(p[:, 3], starts)])
 
     def flush(self) -> pa.RecordBatch:
-        p = np.concatenate(self.parts) if self.parts else np.zeros((0, 3), np.int64)
+        p = self.counted()
         self.parts, self.size = [], 0
-        p = p[np.lexsort((p[:, 1], p[:, 0]))]
-        starts = np.flatnonzero(np.append(True, (p[1:, :2] != p[:-1, :2]).any(axis=1))) if len(p) else np.zeros(0, np.int64)
-        least = np.minimum.reduceat(p[:, 2], starts) if len(p) else p[:, 2]
-        return pa.RecordBatch.from_arrays([pa.array(p[starts, 0]), pa.array(p[starts, 1]), pa.array(np.diff(np.append(starts, len(p)))), pa.array(least)], names=["a", "b", "shared", "need"])
+        if self.left and self.whole and len(p):
+            names, unseen = self.left
+            a, b = (unseen[np.searchsorted(names, p[:, k])] for k in (0, 1))
+            p = p[(a < 0) | (b < 0) | (p[:, 3] + np.minimum(a, b) >= p[:, 2])]
+        return pa.RecordBatch.from_arrays([pa.array(p[:, k]) for k in (0, 1, 3, 2)], names=["a", "b", "shared", "need"])
 
 
 def needed(size: np.ndarray, n: np.ndarray, other_size: np.ndarray, other_n: np.ndarray, percent: int) -> np.ndarray:
@@ -350,13 +401,13 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85, frequ
     members = written(members.select("rep", "n", F.coalesce("component", "rep").alias("cluster"), F.coalesce("pivot", F.lit(-1)).alias("pivot")), "members")
     grouped = members.groupBy("cluster").agg(F.min("pivot").alias("low"), F.max("pivot").alias("high"), F.count(F.lit(1)).alias("size")).select("cluster", (F.col("size") == 1).alias("alone"), F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1).alias("group"))
     # Second round: the prefix join between clusters.
-    tokens, counts = _frequent(rows, width, frequent)
+    tokens, counts, low = _frequent(rows, width, frequent)
     reps = members.select("rep", "cluster").join(grouped, "cluster")
-    prefixes = _prefixes(rows, width, percent, tokens, counts).join(reps, F.col("doc") == F.col("rep"))
-    place = F.when(F.col("alone"), F.col("at")).otherwise(-1)
-    wide = prefixes.select(F.posexplode("tokens").alias("at", "token"), "cluster", F.col("n").alias("low"), F.col("n").alias("high"), "need", "group", "alone")
-    wide = wide.select("token", "cluster", "low", "high", "need", "group", place.alias("at"))
-    counted = _pairs(wide.repartition("token").sortWithinPartitions("token"), percent)
+    prefixes = _prefixes(rows, width, percent, tokens, counts, dealt(tokens, counts, low)).join(reps, F.col("doc") == F.col("rep"))
+    only = lambda c: F.when(F.col("alone"), c).otherwise(-1)
+    wide = prefixes.select(F.posexplode(F.arrays_zip("deals", "tokens")).alias("at", "x"), "cluster", F.col("n").alias("low"), F.col("n").alias("high"), "need", "group", "alone", F.size("tokens").alias("length"))
+    wide = wide.select(F.col("x.deals").alias("part"), F.col("x.tokens").alias("token"), "cluster", "low", "high", "need", "group", only(F.col("at")).alias("at"), only(F.col("length")).alias("length"))
+    counted = _pairs(wide.repartition("part").sortWithinPartitions("part"), percent)
     pairs = written(counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b"), "cluster-pairs")
     kinds = members.groupBy("cluster", "pivot").agg(F.count(F.lit(1)).alias("size"))
     for c in ("a", "b"):
