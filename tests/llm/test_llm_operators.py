@@ -137,6 +137,25 @@ def test_jaccard(spark, odd, width, percent):
     assert jaccard.jaccard_components(frame(spark, odd[:0])).count() == 0
 
 
+def test_jaccard_dealt_in_parts(spark, monkeypatch):
+    """Frequent tokens of one holder in one part, in many, and each by itself give equal classes, those of brute force."""
+    rng = random.Random(14)
+    base = sentence(rng, 100, 5000)
+    rows = list(enumerate(copies(rng, base, 120, 14) + [" ".join(base.split()[k:]) for k in range(0, 40, 5)]))
+    want = {(i, c) for i, (_, c) in links(rows, 5, 80).items()}
+    for most, least in ((10**6, 2), (300, 2), (300, 10**6)):
+        monkeypatch.setattr(jaccard, "MOST_DEALT", most)
+        monkeypatch.setattr(jaccard, "DEALT", least)
+        got = jaccard.jaccard_components(frame(spark, rows), 5, 80).collect()
+        assert {(r["doc_id"], r["component_id"]) for r in got} == want
+    tokens, counts = np.arange(1, 1001, dtype=np.uint64), np.full(1000, 50)
+    parts = np.unique(jaccard.dealt(tokens, counts, np.zeros(1000, np.int64)), return_counts=True)[1]
+    assert len(parts) == 1000  # each by itself, as none is frequent
+    monkeypatch.setattr(jaccard, "DEALT", 2)
+    monkeypatch.setattr(jaccard, "MOST_DEALT", 10_000)
+    assert len(np.unique(jaccard.dealt(tokens, counts, np.zeros(1000, np.int64)))) == 6
+
+
 def test_mixing(spark, odd):
     rng = random.Random(5)
     rows = [(i, t, "s0") for i, t in odd] + [(100 + i, sentence(rng, rng.randrange(1, 60)), rng.choice(["a", "b", "ä", None, "hot", "hot", "hot"])) for i in range(800)] + [(2000, "", "empty")]
