@@ -296,6 +296,25 @@ def test_search(spark, odd):
     assert search.bm25_top_k(docs.limit(0), docs.limit(0).select(F.col("doc_id").alias("query"), "text")).count() == 0
 
 
+def test_search_goes_on_from_shard_to_shard(spark, monkeypatch):
+    """A task gives k rows a query, not k from each of its shards, and blocks that cannot reach the k-th score are left out."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(f"t{i % 40}w{int(60 * rng.random() ** 2)}" if rng.random() < 0.5 else f"w{int(60 * rng.random() ** 3)}" for _ in range(30))) for i in range(400)]
+    docs, made, real = frame(spark, rows), [], search._searched
+
+    def counted(*args):
+        out = real(*args)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "_searched", counted)
+    got = defaultdict(list)
+    for r in search.bm25_top_k(docs, docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query"), "text"), 3, shard_rows=10, block=2).orderBy("query", "rank").collect():
+        got[r["query"]].append((r["doc_id"], r["score"]))
+    assert dict(got) == bm25(rows, 3)
+    assert 0 < made[0] <= 4 * 20 * 3
+
+
 def test_warc(spark):
     page = '<html lang="fr"><head><title>A &amp; B</title></head><body><script>"</p>"</script><p>x  y<br>z</p><!-- no --><a href="/q">link</a></body></html>'
     pages = spark.createDataFrame([(1, "http://a/", page), (2, None, None), (3, "http://b/\r\nX: 1", ""), (4, "http://c/", "<" * 5000)], "page_id long, url string, html string").withColumn("kind", F.lit("clash"))
