@@ -6,7 +6,8 @@ order that fit; the block that the target cuts is taken up to that place. The un
 copy) are dealt to the output shards by a splitting tree: each node halves the exact block quotas of
 its sources by drawing half of its units without replacement, so that each half's counts by source
 are multivariate hypergeometric; after log2(shards) levels a leaf is a shard. Units are disjoint, and
-rows are shuffled within their shard by a hash. All tables but the rows have at most sources * blocks
+a row's copies are the units of its block that the leaves hold, less one for rows behind the place of the
+cut. Rows are shuffled within their shard by a hash. All tables but the rows have at most sources * blocks
 * max_repeats rows.
 """
 
@@ -89,10 +90,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int
     plan = joined.select(m("t_source"), m("t_block"), "source_size", "target", F.col("whole").alias(m("whole")), F.col("room").alias(m("room")), F.col("words").alias(m("words")), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
     out = rows.join(plan, F.col(m("source")).eqNullSafe(F.col(m("t_source"))) & (F.col(m("block")) == F.col(m("t_block"))))
     cut = (F.col(m("room")) > 0) & (F.col(m("room")) < F.col(m("words"))) & (F.col(m("whole")) < max_repeats)
-    plain = out.filter(~cut).withColumn("copies", F.col(m("whole")) + F.when((F.col(m("whole")) < max_repeats) & (F.col(m("room")) > 0), 1).otherwise(0))
+    plain = out.filter(~cut).withColumn("copies", F.size("shards"))
     inside = Window.partitionBy(m("source"), m("block")).orderBy(m("code"), "size").rowsBetween(Window.unboundedPreceding, -1)
     middle = F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2
-    partial = out.filter(cut).withColumn("copies", F.col(m("whole")) + F.when(middle <= F.col(m("room")), 1).otherwise(0))
+    partial = out.filter(cut).withColumn("copies", F.size("shards") - F.when(middle <= F.col(m("room")), 0).otherwise(1))
     both = plain.unionByName(partial)
     return both.withColumn("shards", F.slice("shards", F.lit(1), F.col("copies"))).select(*docs.columns, *made)
 

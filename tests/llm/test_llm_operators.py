@@ -190,6 +190,25 @@ def test_mixing(spark, odd):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_counts_what_the_leaves_hold(spark, monkeypatch, tmp_path):
+    """op5_mixing takes its copies from the splitting tree: what is dealt twice is taken twice."""
+    from meshwright.llm import queries
+
+    rng = random.Random(7)
+    frame(spark, [(i, sentence(rng, 5), "ab"[i % 2]) for i in range(60)]).write.parquet(f"{tmp_path}/documents.parquet")
+    before = {r["doc_id"]: r for r in queries.op5_mixing(spark, str(tmp_path)).collect()}
+    real = mixing.split_shards
+
+    def twice(*args):
+        units = real(*args)
+        return units.unionByName(units)
+
+    monkeypatch.setattr(mixing, "split_shards", twice)
+    after = {r["doc_id"]: r for r in queries.op5_mixing(spark, str(tmp_path)).collect()}
+    assert set(after) == set(before) and sum(r["copies"] for r in before.values())
+    assert all(2 * r["copies"] <= after[i]["copies"] <= 2 * r["copies"] + 1 and after[i]["taken"] == r["size"] * after[i]["copies"] for i, r in before.items())
+
+
 def brute_lines(rows, min_lines, min_chars):
     positions = [(i, k, tuple(t.split("\n"))) for i, t in rows if t is not None for k in [0]]
     out = {}
