@@ -334,6 +334,34 @@ def test_search_goes_on_from_shard_to_shard(spark, monkeypatch):
     assert 0 < made[0] <= 4 * 20 * 3
 
 
+def test_search_holds_a_shard_in_little_memory(spark, monkeypatch):
+    """An index takes few bytes a posting while it is made and asked, also where all rows are candidates; long documents make more shards."""
+    import tracemalloc
+
+    rng = np.random.default_rng(10)
+    rows, each = 4000, 250
+    codes = np.concatenate([np.sort(rng.choice(20_000, each, replace=False)) for _ in range(rows)]).astype(np.int32)
+    counts, lengths = np.ones(len(codes), np.int32), np.full(rows, float(each))
+    asked = np.arange(0, 20_000, 2, dtype=np.int32)
+    want = np.add.reduceat((codes % 2 == 0) * 1.0, np.arange(0, len(codes), each))
+    tracemalloc.start()
+    try:
+        index = search.Shard(np.arange(rows), lengths, codes, np.full(rows, each), counts, np.ones(20_000), each, 1.2, 0.75, 64)
+        ((found, scores),) = index.top([asked], np.array([1.0]), 10)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 30 * len(codes)
+    assert len(found) == rows and np.allclose(scores, want)
+
+    shards = []
+    monkeypatch.setattr(search, "written", lambda df, name: df)
+    monkeypatch.setattr(search, "_searched", lambda docs, weighed, *args: shards.append(docs.select("shard").distinct().count()) or weighed.selectExpr("ask", "query", "ask as doc", "0d as score"))
+    docs = frame(spark, [(i, " ".join(f"d{i}w{j}" for j in range(50))) for i in range(200)])
+    search.bm25_top_k(docs, docs.limit(1).select(F.col("doc_id").alias("query"), "text"), shard_terms=1000)
+    assert shards == [10]
+
+
 def test_warc(spark):
     page = '<html lang="fr"><head><title>A &amp; B</title></head><body><script>"</p>"</script><p>x  y<br>z</p><!-- no --><a href="/q">link</a></body></html>'
     pages = spark.createDataFrame([(1, "http://a/", page), (2, None, None), (3, "http://b/\r\nX: 1", ""), (4, "http://c/", "<" * 5000)], "page_id long, url string, html string").withColumn("kind", F.lit("clash"))
