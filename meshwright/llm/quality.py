@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -154,18 +155,25 @@ def _perplexities(column: pa.Array, order: int, known: np.ndarray, share: np.nda
     return pa.array(-total / np.maximum(n, 1), pa.float64(), mask=n == 0)
 
 
-def scored(docs: DataFrame, model: DataFrame, order: int = 5, text: str = "text", key: str = "doc_id", into: str = "log_perplexity", most_bytes: int = 64 << 20, block_rows: int = 8192) -> DataFrame:
+def copied(model: DataFrame, most_bytes: int = 64 << 20) -> Broadcast | None:
+    """A copy of the model for the tasks: its codes, ascending, shares and backs. None of a model of more than most_bytes."""
+    if model.count() * ENTRY > most_bytes:
+        return None
+    table = model.toArrow().sort_by("code")
+    return model.sparkSession.sparkContext.broadcast(tuple(np.asarray(table.column(c)) for c in ("code", "share", "back")))
+
+
+def scored(docs: DataFrame, model: DataFrame, order: int = 5, text: str = "text", key: str = "doc_id", into: str = "log_perplexity", most_bytes: int = 64 << 20, block_rows: int = 8192, shared: Broadcast | None = None) -> DataFrame:
     """docs with the mean negative log probability of the text's symbols; null where there is no text.
 
-    A model of up to most_bytes is copied to the tasks; of a larger one each block of about block_rows documents gets what it asks for.
+    A model of up to most_bytes is copied to the tasks, unless shared is such a copy already; of a larger one each block of
+    about block_rows documents gets what it asks for.
     """
     docs = docs.drop(into)
     where, names = docs.columns.index(text), docs.columns
     schema = StructType([*docs.schema.fields, StructField(into, DoubleType())])
-    spark = docs.sparkSession
-    if model.count() * ENTRY <= most_bytes:
-        table = model.toArrow().sort_by("code")
-        shared = spark.sparkContext.broadcast(tuple(np.asarray(table.column(c)) for c in ("code", "share", "back")))
+    shared = shared or copied(model, most_bytes)
+    if shared:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -252,14 +260,15 @@ def judge(docs: DataFrame, labels: DataFrame, order: int = 5, quantile: float =
     fold = F.pmod(F.xxhash64("_id"), F.lit(folds))
     trusted = called.filter("good").select("_id")
     model = train(present(rows.filter(fold != 0), trusted, "_id").join(trusted, "_id").select("text"), order)
+    shared = copied(model, most_bytes)  # once for both tables that are scored
     asked = called.filter((fold == 0) | ~F.col("good"))  # scored before they are joined, so that no text is shuffled
-    seen = written(scored(present(rows, asked, "_id"), model, order, key="_id", most_bytes=most_bytes).select("_id", "lang", "log_perplexity").join(asked, "_id"), "held_out")
+    seen = written(scored(present(rows, asked, "_id"), model, order, key="_id", most_bytes=most_bytes, shared=shared).select("_id", "lang", "log_perplexity").join(asked, "_id"), "held_out")
     limits = written(thresholds(seen.filter("good"), seen.filter("not good"), quantile, least), "thresholds")
     every = limits.filter("lang is null").first()
     of, limit = free(docs, "of"), free(docs, "limit")
     limits = limits.filter("lang is not null").select(F.col("lang").alias(of), F.col("threshold").alias(limit))
     if limits.count() <= most_languages:  # checked: else the rows are shuffled by language
         limits = F.broadcast(limits)
-    out = scored(docs, model, order, text, key, most_bytes=most_bytes).join(limits, F.col(lang) == F.col(of), "left")
+    out = scored(docs, model, order, text, key, most_bytes=most_bytes, shared=shared).join(limits, F.col(lang) == F.col(of), "left")
     cut = F.coalesce(limit, F.lit(every["threshold"] if every else None).cast("double"))
     return out.select(*docs.columns, "log_perplexity", cut.alias("threshold"), F.coalesce(F.col("log_perplexity") <= cut, F.lit(True)).alias("keep"))

@@ -508,6 +508,15 @@ def test_quality_judgement(spark, odd):
     assert quality.judge(docs.limit(0), labels).count() == 0
 
 
+def test_model_goes_through_the_driver_once(spark, odd, monkeypatch):
+    made, real = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: made.append(value) or real(self, value))
+    docs = frame(spark, [(i, t[:2000] if t else t) for i, t in odd]).withColumn("lang", F.lit("en"))
+    labels = spark.createDataFrame([(i, 1, 0) for i, _ in odd[:16]], "doc_id long, quality int, toxic int")
+    assert quality.judge(docs, labels, folds=2, least=1).count() == len(odd)
+    assert len(made) == 1
+
+
 def test_shingles_of_arrow_slices():
     texts = pa.array([b"a b c d e", b"", None, b"a b", b"A B c D e"], pa.binary())
     whole = dict(jaccard.shingle_sets(texts, 4))
