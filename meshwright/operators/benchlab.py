@@ -6,10 +6,11 @@ import hashlib
 import itertools
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .components import written
+
 
 def stats(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, min, max, median, quartile distance, and median absolute deviation; percentiles interpolate linearly."""
@@ -36,19 +37,50 @@ def ratios(rows: DataFrame, case: str = "case", method: str = "method", value: s
     return a.join(b, case).filter("a <> b").select(case, "a", "b", (F.col("x") / F.col("y")).alias("ratio"))
 
 
+def resampled_ranks(seed: int, n: int, draws: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranks from 0, among n sorted values, of the two middle values (one, twice, if n is odd) of each of `draws` resamples of all n.
+
+    A resample takes n uniform numbers u, each the value of rank floor(n u). The k-th smallest of them has a beta distribution, and the next
+    is the least of n - k uniform ones above it, so both are drawn with just the law that they have in a resample that is drawn in full.
+    """
+    rng, k = np.random.default_rng(seed), (n + 1) // 2
+    low = high = rng.beta(k, n - k + 1, draws)
+    if n % 2 == 0:
+        high = low - (1 - low) * np.expm1(np.log1p(-rng.random(draws)) / (n - k))
+    return tuple(np.minimum(np.floor(n * u).astype(np.int64), n - 1) for u in (low, high))
+
+
 def bootstrap(rows: DataFrame, by: list[str], value: str, draws: int = 10_000, level: float = 0.95) -> DataFrame:
-    """An interval for the median from resampled medians; each group's draws follow from its name."""
-    schema = rows.select(*by).schema.simpleString()[len("struct<") : -1].replace(":", " ")
+    """An interval for the median from the medians of `draws` resamples, each of as many values as the group has; a group's draws follow from its name.
 
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        seed = int.from_bytes(hashlib.sha256("|".join(map(str, key)).encode()).digest()[:8], "big")
-        x = np.sort(part[value].to_numpy())
-        rng = np.random.default_rng(seed)
-        m = np.concatenate([np.median(rng.choice(x, (min(1000, draws - i), len(x))), axis=1) for i in range(0, draws, 1000)])
-        low, high = np.quantile(m, [(1 - level) / 2, (1 + level) / 2])
-        return pd.DataFrame([[*key, float(np.median(x)), float(low), float(high)]], columns=[*by, "median", "low", "high"])
+    Values are sorted by ranges, so a group may be larger than a task; of a resample only the ranks of its middle values are drawn.
+    Null values are none; a group with a NaN has NaN for all three.
+    """
 
-    return rows.select(*by, value).groupBy(*by).applyInPandas(one, f"{schema}, median double, low double, high double")
+    @F.udf("array<struct<draw:int,at:long>>")
+    def ranks(n: int, *key) -> list[tuple[int, int]]:
+        seed = int.from_bytes(hashlib.sha256("|".join(map(str, key)).encode()).digest()[:8], "big")
+        own = [(-1, (n - 1) // 2), (-1, n // 2)]  # of the values themselves
+        return own + [(i, x) for r in resampled_ranks(seed, n, draws) for i, x in enumerate(r.tolist())]
+
+    counts = rows.select(F.struct(*by).alias("g"), F.col(value).cast("double").alias("x")).filter("x is not null").groupBy("g", "x").agg(F.count(F.lit(1)).alias("n"))
+    values = written(counts.repartitionByRange("g", "x").withColumn("p", F.spark_partition_id()), "values")
+    sizes = values.groupBy("g", "p").agg(F.sum("n").alias("n"), F.max(F.isnan("x")).alias("bad"))
+    spans = sizes.select("g", "p", (F.sum("n").over(Window.partitionBy("g").orderBy("p")) - F.col("n")).alias("start"), "n", "bad")
+    totals = spans.groupBy("g").agg(F.sum("n").alias("n"), F.max("bad").alias("bad"))
+    asked = totals.select("g", "bad", F.explode(ranks("n", *(F.col("g").getField(c) for c in by))).alias("r"))
+    asked = written(asked.select("g", "bad", "r.draw", "r.at"), "ranks")
+    needed = asked.select("g", "at").distinct().join(spans.select("g", "p", "start", "n"), "g").filter("start <= at and at < start + n").select("g", "p", "at")
+    before = F.sum("n").over(Window.partitionBy("g", "p").orderBy("x")) - F.col("n")
+    near = values.join(needed.select("g", "p").distinct(), ["g", "p"], "left_semi").select("g", "p", before.alias("before"), "x")
+    placed = near.join(spans.select("g", "p", "start"), ["g", "p"]).select("g", "p", (F.col("start") + F.col("before")).alias("at"), F.lit(0).alias("asks"), "x")
+    both = placed.unionByName(needed.select("g", "p", "at", F.lit(1).alias("asks"), F.lit(None).cast("double").alias("x")))
+    found = both.withColumn("x", F.last("x", True).over(Window.partitionBy("g", "p").orderBy("at", "asks"))).filter("asks = 1").select("g", "at", "x")
+    medians = asked.join(found, ["g", "at"]).groupBy("g", "draw").agg(F.avg("x").alias("m"), F.first("bad").alias("bad"))
+    drawn = F.when(F.col("draw") >= 0, F.col("m"))
+    ends = [F.percentile(drawn, F.lit(q)) for q in ((1 - level) / 2, (1 + level) / 2)]
+    out = medians.groupBy("g").agg(F.max("bad").alias("bad"), *(x.alias(c) for x, c in zip((F.max(F.when(F.col("draw") < 0, F.col("m"))), *ends), ("median", "low", "high"), strict=True)))
+    return out.select("g.*", *(F.when(F.col("bad"), float("nan")).otherwise(F.col(c)).alias(c) for c in ("median", "low", "high")))
 
 
 def tasks(spark: SparkSession, **axes: list) -> DataFrame:
