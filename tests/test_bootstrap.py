@@ -33,3 +33,11 @@ def test_interval_of_groups(spark):
         assert got[m]["median"] == np.median(x)
         assert abs(got[m]["low"] - low) <= 2.5 and abs(got[m]["high"] - high) <= 2.5
     assert all(np.isnan(got["bad"][c]) for c in ("median", "low", "high"))
+
+
+def test_query_draws_as_often_as_the_operator(spark):
+    from meshwright.plans.catalog import QUERIES, runs
+
+    data = "/root/testdata/sf0.001"
+    whole = benchlab.bootstrap(runs(spark, data), ["method"], "value", 10_000)
+    assert sorted(map(tuple, QUERIES["bench_bootstrap"](spark, data).collect())) == sorted(map(tuple, whole.collect()))
