@@ -5,7 +5,7 @@ import pytest
 
 from meshwright.operators import graph as G
 from meshwright.operators import solve
-from meshwright.options import EngineOptions, HierarchyOptions
+from meshwright.options import EngineOptions, HierarchyOptions, PcgOptions
 from meshwright.plans.catalog import parts
 from meshwright.sources import generators as gen
 
@@ -22,3 +22,33 @@ def test_levels_of_a_graph_beyond_the_driver(spark, options):
     want = levels(solve.hierarchy_tables(spark, solve.Hierarchy.build(g, options))[0])
     for most in (1000, 1):
         assert levels(solve.hierarchy_levels(e, options, EngineOptions(part_edges=most))) == want
+
+
+def test_components_are_solved_apart(spark):
+    e = G.canonical(gen.grid(spark, 400).unionByName(gen.path(spark, 60).selectExpr("u + 1000 as u", "v + 1000 as v", "w")).unionByName(gen.path(spark, 9).selectExpr("u + 2000 as u", "v + 2000 as v", "w"))).cache()
+    ids = [*range(400), *range(1000, 1060), *range(2000, 2009), 3000]
+    x = {i: float(np.sin(i)) for i in ids}
+    b = G.matvec(e, spark.createDataFrame(list(x.items()), "id long, val double")).selectExpr("id", "val as p", "0.0D as z", "3 * val as q").cache()
+    g, names = solve.local_graph(e, ids=b.select("id"))
+    root = solve.Hierarchy.build(g).levels[0].root
+    mean = {r: np.mean([x[int(i)] for i in names[root == r]]) for r in set(root.tolist())}
+    want = {int(i): x[int(i)] - mean[int(r)] for i, r in zip(names, root, strict=True)}
+    for most in (1_000_000, 800):  # all in one part; two parts and one of what is small
+        got = solve.solve_pieces(e, b, ["p", "z", "q"], [PcgOptions(relative=0, absolute=1e-8), None, PcgOptions()], EngineOptions(part_edges=most)).collect()
+        assert sorted((r["i"], r["id"]) for r in got) == sorted((i, k) for i in range(3) for k in ids)
+        for r in got:
+            assert abs(r["val"] - (1, 0, 3)[r["i"]] * want[r["id"]]) < 1e-4
+
+
+def test_a_component_beyond_a_task(spark):
+    e = G.canonical(gen.path(spark, 6).unionByName(gen.path(spark, 3).selectExpr("u + 10 as u", "v + 10 as v", "w"))).cache()
+    b = G.matvec(e, spark.createDataFrame([(i, float(i % 3)) for i in (*range(6), 10, 11, 12)], "id long, val double"))
+    got = solve.solve_pieces(e, b, ["val"], [PcgOptions(relative=0, absolute=1e-9)], EngineOptions(part_edges=4)).collect()
+    assert {r["id"]: round(r["val"], 6) for r in got} == {i: i % 3 - 1.0 for i in range(6)} | {i: i % 3 - 1.0 for i in (10, 11, 12)}
+
+
+def test_profile_of_a_graph_beyond_the_driver(spark):
+    e = gen.path(spark, 9).unionByName(gen.path(spark, 9).selectExpr("u + 10 as u", "v + 10 as v", "w"))
+    for most in (1_000_000, 10):
+        seconds = solve.profiled(e, EngineOptions(part_edges=most))
+        assert list(seconds) == ["collect", "setup", "pcg"] and min(seconds.values()) > 0
