@@ -45,6 +45,8 @@ LEAST_GROUP = 8
 MOST_ASKED = 4
 #: Rows of one pivot that one task may take together, so that a pair is counted once; more are dealt by token.
 TOGETHER = 1 << 18
+#: Rows of one part from which on they are made fewer before more are read.
+LONG_LIST = 200_000
 #: Documents that hold a token from which on it is dealt with others, and how many rows (of 72 bytes: 64 MB) such a part may have.
 DEALT, MOST_DEALT = 16, (64 << 20) // 72
 
@@ -183,9 +185,9 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
     length: how many tokens that has; -1: it has more documents. A part with another number than its token's has all rows of all its tokens."""
     names = ["part", "token", "cluster", "low", "high", "need", "group", "at", "length"]
 
-    def collapsed(table: pa.Table) -> list[np.ndarray]:
-        """A row for each token and cluster, by part, token and low."""
-        part, token, cluster, low, high, need, *rest = (np.asarray(table.column(c)).astype(np.int64) for c in names)
+    def collapsed(tables: list[pa.RecordBatch]) -> list[np.ndarray]:
+        """A row for each token and cluster, by part, token and low. Batches that were collapsed before have other types than Spark's, so columns are joined as numbers."""
+        part, token, cluster, low, high, need, *rest = (np.concatenate([np.asarray(x.column(c)).astype(np.int64) for x in tables]) for c in names)
         order = np.lexsort((cluster, token))
         token, cluster = token[order], cluster[order]
         starts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (cluster[1:] != cluster[:-1])))
@@ -205,9 +207,9 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Found()
-        smaller = lambda tables: [pa.RecordBatch.from_arrays([pa.array(c) for c in collapsed(pa.Table.from_batches(tables))], names=names)]
+        smaller = lambda tables: [pa.RecordBatch.from_arrays([pa.array(c) for c in collapsed(tables)], names=names)]
         for tables in by_token(batches, smaller, "part"):
-            part, *columns, length = collapsed(pa.Table.from_batches(tables))
+            part, *columns, length = collapsed(tables)
             alone = part == columns[0]
             yield from met(found, *(x[alone] for x in columns))
             edges = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
@@ -227,6 +229,7 @@ def _pairs(postings: DataFrame, percent: int) -> DataFrame:
 def by_token(batches: Iterator[pa.RecordBatch], smaller=None, key: str = "token") -> Iterator[list[pa.RecordBatch]]:
     """Batches sorted by token, cut so that each list has all rows of its tokens. smaller: what to do with a list that one token makes long."""
     held: list[pa.RecordBatch] = []
+    most = LONG_LIST
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -234,11 +237,12 @@ def by_token(batches: Iterator[pa.RecordBatch], smaller=None, key: str = "token"
         cut = int(np.flatnonzero(keys == keys[-1])[0])
         if cut or (held and np.asarray(held[-1].column(key))[-1] != keys[-1]):
             yield [*held, batch.slice(0, cut)]
-            held = [batch.slice(cut)]
+            held, most = [batch.slice(cut)], LONG_LIST
         else:
             held.append(batch)
-            if smaller and sum(map(len, held)) > 200_000:
+            if smaller and sum(map(len, held)) > most:
                 held = smaller(held)
+                most = max(LONG_LIST, 2 * sum(map(len, held)))
     if held:
         yield held
 
