@@ -52,3 +52,15 @@ def test_profile_of_a_graph_beyond_the_driver(spark):
     for most in (1_000_000, 10):
         seconds = solve.profiled(e, EngineOptions(part_edges=most))
         assert list(seconds) == ["collect", "setup", "pcg"] and min(seconds.values()) > 0
+
+
+def test_panel_of_components_that_fit_tasks(spark, monkeypatch):
+    from meshwright.operators import panel
+
+    one = spark.range(60).selectExpr("id as obs", "id % 10 as a", "(id * 7) % 6 as b", "1.0D + id % 3 as w", "cast(id * id % 17 as double) as y", "cast(id * id % 11 as double) as x")
+    p = one.unionByName(one.selectExpr("obs + 100", "a + 100", "b + 100", "w", "y", "x").toDF(*one.columns)).cache()
+    near, _ = panel.demean(p, ["y", "x"], 1e-9)
+    monkeypatch.setattr(solve, "solve_distributed", None)  # no component needs it
+    far, _ = panel.demean(p, ["y", "x"], 1e-9, engine=EngineOptions(part_edges=5))
+    for r, s in zip(near.orderBy("obs").collect(), far.orderBy("obs").collect(), strict=True):
+        assert abs(r["y_resid"] - s["y_resid"]) < 1e-7 and abs(r["x_resid"] - s["x_resid"]) < 1e-7
